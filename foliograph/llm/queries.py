@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import op1_decontamination as op1
+from . import op2_minhash_dedup as op2
 from . import op7_substring_dedup as op7
 
-QUERIES = {"op7_substring_dedup": op7.op7_substring_dedup}
-ORACLES = {"op7_substring_dedup": op7.SQL}
+QUERIES = {f.__name__: f for f in (op1.op1_decontamination, op2.op2_minhash_dedup, op7.op7_substring_dedup)}
+ORACLES = {"op1_decontamination": op1.SQL, "op2_minhash_dedup": op2.SQL, "op7_substring_dedup": op7.SQL}
