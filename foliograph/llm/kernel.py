@@ -160,3 +160,11 @@ def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
 def texts_of(off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The text in which each position lies."""
     return np.searchsorted(off, at, "right") - 1
+
+
+def unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
