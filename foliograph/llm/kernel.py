@@ -146,7 +146,7 @@ def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
     n = len(v) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    idx, val, span = np.arange(len(v)), v, 1
+    idx, val, span = np.arange(len(v), dtype=np.int32), v, 1
     while True:
         step = min(span, w - span)
         if not step:
