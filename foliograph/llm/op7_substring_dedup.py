@@ -3,8 +3,8 @@
 The index is a list of immutable runs, each a table of (fp, n) sorted by fp: the anchor hashes of
 the windows of earlier batches and how often each occurred. A new batch becomes a run of its own,
 is merge-joined with the older runs to find the hashes that occurred before, and runs of like size
-are compacted into one. Matches are then verified on the texts (two independent 64-bit hashes over all
-words of a window) before a word is removed.
+are compacted into one. Matches are then verified on the texts (hashes over all words of a window and
+its anchor, 128 bits together) before a word is removed.
 
 Defined results: a null or empty text has no words and is kept as it is; fewer words than a
 window remove nothing; rows without doc_id take no part; rows that repeat a doc_id with the same text
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .repeats import Spec, covered, fingerprints, repeated, with_spans
+from .repeats import Spec, covered, fingerprints, repeated, with_lists
 from .shared import table, written
 
 WORDS = K.byte_table(71, zero=K.SPACES)
@@ -95,7 +95,7 @@ def find(docs: DataFrame, window: int = 20, batches: int = 2, index: Fingerprint
 
 def dedup(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by a space)."""
-    joined = with_spans(docs, find(docs, window, batches))
+    joined = with_lists(docs, find(docs, window, batches), "spans")
     names = docs.columns
     types = [f"`{n}` {t}" for n, t in docs.dtypes]
     at = names.index("text")
@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
                     own = spans[lo + d].as_py()
                     n_words.append(b - a)
                     if own:
-                        keep = ~covered(b - a, np.array([(x["a"], x["b"]) for x in own], np.int64), window)
+                        keep = ~covered(b - a, np.array(own, np.int64), window)
                         n_removed.append(int(b - a - keep.sum()))
                         kept.append(b" ".join(raw[starts[i] : ends[i]] for i in a + np.flatnonzero(keep)))
                     else:

@@ -6,8 +6,8 @@ again can repeat. Consecutive windows with one anchor form a *record*; there are
 2 / (width - k + 2) records a unit. From records to exact results:
 
 1. records whose anchor hash occurs once are dropped;
-2. records with equal content (two independent 64-bit hashes of all their units, and the anchor's
-   place) form a class: all windows of a class of several records repeat;
+2. records with one anchor hash and equal content (another 64-bit hash, of all their units and the
+   anchor's place) form a class: all windows of a class of several records repeat;
 3. where an anchor hash has several classes, which happens at the ends of copied stretches, one
    record of each class gives all its windows (128-bit content hashes), and equal ones meet.
 
@@ -30,7 +30,9 @@ from .shared import sized, written
 
 #: Units of a chunk: (hash of each unit, for each text and one more the index of its first unit).
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-RECORD = "fp long, r1 long, r2 long, doc_id long, s int, e int"
+RECORD = "fp long, r long, doc_id long, at long"
+#: at: first window start times 4096 plus the number of further windows of the record.
+WIDE = 12
 
 
 @dataclass(frozen=True)
@@ -42,11 +44,11 @@ class Spec:
 
 
 def records_of(h: np.ndarray, off: np.ndarray, spec: Spec, slim: bool = False):
-    """(text, anchor hash, first and last window start, two content hashes) of each record of a chunk."""
+    """(text, anchor hash, first and last window start, content hash) of each record of a chunk."""
     w, k = spec.width, spec.k
     if len(h) < w:
         z = np.zeros(0, np.int64)
-        return z, z.view(np.uint64), z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z.view(np.uint64), z, z, z.view(np.uint64)
     g = K.ngrams(h, k)
     anchor = K.sliding_argmin(g, w - k + 1)
     lens = np.diff(off)
@@ -62,9 +64,8 @@ def records_of(h: np.ndarray, off: np.ndarray, spec: Spec, slim: bool = False):
     fp = g[b]
     if slim:
         return fp
-    r1 = K.Ranges(h, K.GRAM_BASE).of(s, e + w) + (b - s).astype(np.uint64)
-    r2 = K.Ranges(K.mix(h), K.BASE_2).of(s, e + w)
-    return K.texts_of(off, s), fp, s, e, r1, r2
+    r = K.Ranges(K.mix(h), K.BASE_2).of(s, e + w) + (b - s).astype(np.uint64)
+    return K.texts_of(off, s), fp, s, e, r
 
 
 def fingerprints(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -86,25 +87,26 @@ def records(docs: DataFrame, spec: Spec) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, data, off in K.chunks(batch.column(1), spec.chunk):
                 h, first = spec.units(data, off)
-                t, fp, s, e, r1, r2 = records_of(h, first, spec)
+                t, fp, s, e, r = records_of(h, first, spec)
                 if len(t):
-                    at = first[t]
-                    cols = [fp.view(np.int64), r1.view(np.int64), r2.view(np.int64), ids[lo + t].astype(np.int64), (s - at).astype(np.int32), (e - at).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "r1", "r2", "doc_id", "s", "e"])
+                    at = (s - first[t] << WIDE) + (e - s)
+                    cols = [fp.view(np.int64), r.view(np.int64), ids[lo + t].astype(np.int64), at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "r", "doc_id", "at"])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, RECORD)
 
 
 def windows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """All windows of the wanted records (doc_id, s, e): rows (w1, w2, doc_id, i)."""
-    by_doc = written(wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("at")), "wanted")
-    docs = docs.select("doc_id", "text").join(sized(by_doc, 200), "doc_id")
+    """All windows of the wanted records (doc_id, at): rows (w1, w2, doc_id, i)."""
+    by_doc = written(wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")), "wanted")
+    docs = with_lists(docs.select("doc_id", "text"), by_doc, "at", "inner")
 
     def run(batches):
         for batch in batches:
             ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            flat = at.flatten()
-            fs, fe = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            flat = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            fs = flat >> WIDE
+            fe = fs + (flat & (1 << WIDE) - 1)
             n_at = np.append(0, np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)))
             for lo, hi, data, off in K.chunks(batch.column(1), spec.chunk):
                 h, first = spec.units(data, off)
@@ -130,34 +132,47 @@ def repeated(docs: DataFrame, spec: Spec, matched: DataFrame, later: bool) -> Da
     earlier, by doc_id and place; else every window that also starts elsewhere.
     """
     seen = written(records(docs, spec).join(matched, "fp"), "records")
-    classes = seen.groupBy("fp", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s", "e")).alias("f"))
+    classes = seen.groupBy("fp", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("f"))
     classes = written(classes, "classes")
     mixed = classes.groupBy("fp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     mixed = mixed.where("c > 1" if later else "c > 1 and least = 1").select("fp")
-    edges = classes.join(mixed, "fp").select("f.*", "n")
-    twice = classes.where("n > 1").select("fp", "r1", "r2", *(["f"] if later else []))
-    whole = seen.join(twice, ["fp", "r1", "r2"])
+    edges = classes.join(mixed, "fp").select("f.*")
+    twice = classes.where("n > 1").select("fp", "r", *(["f"] if later else []))
+    whole = seen.join(twice, ["fp", "r"])
     if later:
-        whole = whole.where("doc_id <> f.doc_id or s <> f.s")
-    single = written(windows(docs, edges.select("doc_id", "s", "e"), spec), "windows")
+        whole = whole.where("doc_id <> f.doc_id or at <> f.at")
+    single = written(windows(docs, edges, spec), "windows")
     met = single.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).where("n > 1")
     parts = single.join(met, ["w1", "w2"])
     if later:
         parts = parts.where("doc_id <> f.doc_id or i <> f.i")
-    spans = whole.select("doc_id", F.col("s").alias("a"), F.col("e").alias("b")).union(parts.select("doc_id", F.col("i").alias("a"), F.col("i").alias("b")))
-    return written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    spans = whole.select("doc_id", "at").union(parts.selectExpr("doc_id", f"shiftleft(cast(i as long), {WIDE}) as at"))
+    return written(spans.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(merged, "doc_id long, spans array<long>"), "spans")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and adjoining spans of window starts as one: first * 2**32 + last."""
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            at = np.sort(x.values.to_numpy(zero_copy_only=False))
+            a = at >> WIDE
+            b = np.maximum.accumulate(a + (at & (1 << WIDE) - 1))
+            cut = np.flatnonzero(np.append(True, a[1:] > b[:-1] + 1))
+            out.append((a[cut] << 32) + b[np.append(cut[1:], len(b)) - 1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "spans"])
 
 
 def covered(n: int, spans: np.ndarray, width: int) -> np.ndarray:
     """Which of n units lie in a window whose start is in a span."""
     add = np.zeros(n + 1, np.int32)
     if len(spans):
-        np.add.at(add, np.minimum(spans[:, 0], n), 1)
-        np.add.at(add, np.minimum(spans[:, 1] + width, n), -1)
+        np.add.at(add, np.minimum(spans >> 32, n), 1)
+        np.add.at(add, np.minimum((spans & 0xFFFFFFFF) + width, n), -1)
     return np.cumsum(add[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with their spans (null: none); the texts move only where the spans are too many to broadcast."""
-    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("k")).first()
-    return docs.join(sized(spans, 1, 64 * size["n"] + 24 * (size["k"] or 0)), "doc_id", "left")
+def with_lists(docs: DataFrame, lists: DataFrame, column: str, how: str = "left") -> DataFrame:
+    """docs with their lists of longs; the texts move only where the lists are too many to broadcast."""
+    size = lists.agg(F.count("*").alias("n"), F.sum(F.size(column)).alias("k")).first()
+    return docs.join(sized(lists, 1, 96 * size["n"] + 8 * (size["k"] or 0)), "doc_id", how)
