@@ -6,11 +6,11 @@ first (optimal densification). Bands of four bins give bucket keys. Two sets of
 similarity 0.85 meet in one of the 16 bands but for one case in 100,000.
 
 Equal sets are one class before anything else, so thousands of copies are one row. In a bucket, classes
-are not paired with each other: a round ties each to one centre (2**t centres in round t, chosen by how many
-others a class meets), candidates are confirmed on the full sets, components are formed,
-and buckets whose untested classes are still in several components go on to the next round without the
-centres used. A pair of different components in a bucket is thus always tested, and a bucket of m classes ends after
-about log2(m) rounds.
+are not paired with each other: each is tied to the bucket's centre, the class that meets most others in all buckets,
+and candidates are confirmed on the full sets. That joins a group of near copies to its origin. What is still in
+several components of a bucket is compared in blocks of about 48 classes: a row holds two blocks, their sets are
+intersected as matrices, and links that suffice for their components come out. So every two classes of a
+bucket that aren't in one component are compared on their full sets, and none is left out.
 
 Defined results: null or empty texts, and texts of separators only, have empty sets and are linked with
 nothing; fewer words than a shingle are one shingle; rows that repeat a doc_id with the same text are one document;
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import components, sized, table, written
+from .shared import components, rows_per_batch, sized, table, written
 
-SHINGLE, BINS, ROWS = 5, 64, 4
+SHINGLE, BINS, ROWS, BLOCK = 5, 64, 4, 48
 WORDS = K.byte_table(21, lower=True, zero=K.SPACES)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PROBES = np.random.default_rng(22).integers(0, BINS, (4096, BINS))
@@ -128,8 +128,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, percent: int, shingle: int, seen: dict | None = None) -> DataFrame | None:
-    """Confirmed links (a, b) between representatives that suffice for their components."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    vocab = K.unique(np.concatenate([*left, *right]))
+    if len(vocab) * (len(left) + len(right)) <= 1 << 22:
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(vocab)), np.float32)
+            for i, s in enumerate(sets):
+                m[i, np.searchsorted(vocab, s)] = 1
+            sides.append(m)
+        return (sides[0] @ sides[1].T).astype(np.int64)
+    out = np.zeros((len(left), len(right)), np.int64)  # long texts: one pair at a time
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if len(x) and len(y):
+                out[i, j] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+    return out
+
+
+def compared(blocks: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b) between different components of two blocks of a bucket, as many as join them."""
+    one = blocks.select("key", F.col("block").alias("b1"), F.col("own").alias("left"))
+    two = blocks.select("key", F.col("block").alias("b2"), F.col("own").alias("right"))
+
+    def sets_of(texts) -> list[np.ndarray]:
+        return [s for _, _, data, off in K.chunks(texts) for s in shingle_sets(data, off, shingle)]
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column(0), batch.column(1)):
+                sides = [(x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), sets_of(x.values.field(2))) for x in (left, right)]
+                (ids, comps, sets), (ids2, comps2, sets2) = sides
+                size, size2 = np.array([len(s) for s in sets]), np.array([len(s) for s in sets2])
+                both = shared_counts(sets, sets2)
+                ok = 100 * both >= percent * (size[:, None] + size2[None, :] - both)
+                root: dict = {}
+
+                def find(i, root=root):
+                    while root.get(i, i) != i:
+                        i = root[i]
+                    return i
+
+                for i, j in zip(*np.nonzero(ok & (comps[:, None] != comps2[None, :]))):
+                    x, y = find(int(comps[i])), find(int(comps2[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(ids[i]))
+                        b.append(int(ids2[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return one.join(two, "key").where("b1 <= b2").select("left", "right").mapInArrow(run, "a long, b long")
+
+
+def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame | None:
+    """Components (id, component) of the representatives with confirmed links; None if none can have any."""
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
     many = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     cand = written(keys.join(many, "key"), "buckets")
@@ -141,34 +195,20 @@ def links(docs: DataFrame, reps: DataFrame, percent: int, shingle: int, seen: di
     cand = cand.drop("m").join(sized(members, 48, count), "rep")
     ids = members.select(F.col("rep").alias("doc_id"))
     texts = written(docs.select("doc_id", "text").join(sized(ids, 32, count), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "texts")
-    found = comp = tested = None
-    t = 0
-    while True:
-        rows = cand
-        if comp is None:
-            rows = rows.withColumn("comp", F.col("rep"))
-        else:
-            rows = rows.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            still = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            rows = written(rows.join(still, "key"), "open")
-            if not rows.limit(1).count():
-                break
-        salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(rep, {t}), {1 << t})"))
-        centres = written(salted.groupBy("key", "salt").agg(F.min(F.struct((-F.col("w")).alias("w"), "rep", "comp", "n")).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("centre_n")), "centres")
-        pairs = rows.join(centres, "key").where("rep <> centre and comp <> centre_comp").where(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(confirmed(pairs, texts, percent, shingle), "links")
-        if seen is not None:
-            seen.setdefault("rounds", []).append(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = new if found is None else found.union(new)
-        comp = written(components(found), "components")
-        cand = written(rows.drop("comp").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti"), "left")
-        t += 1
-    return found
+    centres = cand.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
+    star = written(cand.join(centres, "key").where("rep <> centre"), "stars")
+    pairs = star.where(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    with rows_per_batch(docs.sparkSession, 1024):
+        found = written(confirmed(pairs, texts, percent, shingle), "links")
+    comp = components(found)
+    rest = star.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    still = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
+    rest = rest.join(still, "key").withColumn("block", F.expr(f"pmod(xxhash64(rep), cast(ceil(m / {BLOCK}) as int))"))
+    blocks = rest.join(texts, "rep").groupBy("key", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("own"))
+    blocks = written(blocks, "blocks")
+    with rows_per_batch(docs.sparkSession, 16):
+        more = written(compared(blocks, percent, shingle), "links")
+    return components(found.union(more)) if more.limit(1).count() else comp
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
@@ -176,11 +216,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     sk = written(sketches(docs, shingle), "sketches")
     classes = sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     classes = written(classes.select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    found = links(docs, classes, percent, shingle)
+    comp = components_of(docs, classes, percent, shingle)
     ids = classes.select("k1", "k2", "rep")
-    if found is not None:
-        comp = written(components(found), "components").withColumnRenamed("id", "rep")
-        ids = ids.join(comp, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
+    if comp is not None:
+        ids = ids.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     else:
         ids = ids.withColumnRenamed("rep", "c")
     out = sk.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2"], "left")

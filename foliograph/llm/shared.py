@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int):
+    """Batches for Python of at most n rows, where a row holds several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def sized(small: DataFrame, row_bytes: int, count: int | None = None) -> DataFrame:
     """small with a broadcast hint if its counted rows are few enough; else as it is, for a shuffled join."""
     n = small.count() if count is None else count
@@ -53,20 +66,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     which flattens every component to a star in a logarithmic number of rounds. Each round is a few
     shuffles of what is left of the edges and ends in a written table.
     """
-    e = edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct()
+    e = edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v")
+    before = None
     for _ in range(most_rounds):
-        both = e.select("u", "v").union(e.selectExpr("v u", "u v"))
+        both = e.union(e.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = written(down.select("u", F.col("m").alias("v")).union(small).distinct(), "star")
-        # Done when every node but the centres has one edge and no centre has an edge upwards.
-        again = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        inner = new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u", "left_semi")
-        e = new
-        if not again.union(inner).limit(1).count():
+        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
+        e = written(small.select("x.*").where("u <> v").distinct(), "star")
+        # A round that changes nothing is a star in every component; a sum of hashes tells.
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
