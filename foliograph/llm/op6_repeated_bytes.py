@@ -8,8 +8,6 @@ each other. Other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +25,7 @@ def byte_units(data: np.ndarray, off: np.ndarray):
 
 
 def spec(width: int = 400) -> Spec:
-    return Spec(byte_units, width, max(1, min(32, width // 2)))
+    return Spec(byte_units, width, max(1, min(32, width // 2)), max(1, width // 9))
 
 
 def find(docs: DataFrame, width: int = 400) -> DataFrame:
@@ -43,19 +41,18 @@ def removed(docs: DataFrame, width: int = 400) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            raw, off = K.buffers(batch.column(1))
-            for d, own in enumerate(batch.column(2)):
-                text, n = raw[off[d] : off[d + 1]], int(off[d + 1] - off[d])
-                if own.is_valid:
-                    gone = covered(n, own.values.to_numpy(zero_copy_only=False), width)
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((n, int(gone.sum()), runs, text[~gone].tobytes()))
-                else:
-                    out.append((n, 0, 0, text.tobytes()))
-            c = list(zip(*out)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(c, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            for lo, hi, data, off in K.chunks(batch.column(1)):  # a small batch for each chunk bounds the memory
+                out = []
+                for d, own in enumerate(batch.column(2).slice(lo, hi - lo)):
+                    text, n = data[off[d] : off[d + 1]], int(off[d + 1] - off[d])
+                    if own.is_valid:
+                        gone = covered(n, own.values.to_numpy(zero_copy_only=False), width)
+                        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                        out.append((n, int(gone.sum()), runs, text[~gone].tobytes()))
+                    else:
+                        out.append((n, 0, 0, text.tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v, k) for v, k in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -89,6 +89,7 @@ def find(docs: DataFrame, window: int = 20, batches: int = 2, index: Fingerprint
     sp, found = spec(window), None
     for part in batches_of(docs, batches):
         hit = index.add(fingerprints(part, sp))
+        index.compact()
         found = hit if found is None else found.union(hit)
     return repeated(docs, sp, written(found.distinct(), "matched"), later=True)
 
@@ -102,10 +103,9 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = K.as_array(batch.column(at))
             spans = batch.column(len(names))
-            n_words, n_removed, kept = [], [], []
-            for lo, hi, data, off in K.chunks(texts):
+            for lo, hi, data, off in K.chunks(batch.column(at)):  # a small batch for each chunk bounds the memory
+                n_words, n_removed, kept = [], [], []
                 starts, ends, first = K.spans(data, off, K.NOT_SPACE)
                 raw = data.tobytes()
                 for d in range(hi - lo):
@@ -119,8 +119,8 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
                     else:
                         n_removed.append(0)
                         kept.append(b" ".join(raw[off[d] : off[d + 1]].translate(TO_SPACE).split()))
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*names, "n_words", "n_removed", "kept"])
+                extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), *extra], [*names, "n_words", "n_removed", "kept"])
 
     return joined.select(*names, "spans").mapInArrow(run, ", ".join([*types, "n_words long", "n_removed long", "kept string"]))
 

@@ -9,7 +9,9 @@ again can repeat. Consecutive windows with one anchor form a *record*; there are
 2. records with one anchor hash and equal content (another 64-bit hash, of all their units and the
    anchor's place) form a class: all windows of a class of several records repeat;
 3. where an anchor hash has several classes, which happens at the ends of copied stretches, one
-   record of each class gives all its windows (128-bit content hashes), and equal ones meet.
+   record of each class gives all its windows (128-bit content hashes), and equal ones meet. For wide
+   windows, contexts of the anchor of a few lengths are compared first; how far to the left and the right
+   any other class agrees bounds the windows that can repeat, and only those are given.
 
 No pair of documents is ever formed: every step is an equi-join or a pre-aggregated group-by on
 content hashes, so a passage that a third of the corpus shares costs a row for each occurrence.
@@ -40,6 +42,7 @@ class Spec:
     units: Units
     width: int
     k: int
+    stride: int = 0  # of the lengths of contexts; 0: they aren't compared
     chunk: int = K.CHUNK
 
 
@@ -125,6 +128,41 @@ def windows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
     return docs.mapInArrow(run, "w1 long, w2 long, doc_id long, i int")
 
 
+def narrowed(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
+    """The wanted records with only those windows that the contexts of their anchors leave possible."""
+    by_doc = written(wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")), "wanted")
+    rows = with_lists(docs.select("doc_id", "text"), by_doc, "at", "inner")
+    lengths = np.arange(spec.stride, spec.width + 1, spec.stride)
+
+    def run(batches):
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            flat = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            n_at = np.append(0, np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)))
+            for lo, hi, data, off in K.chunks(batch.column(1), spec.chunk):
+                h, first = spec.units(data, off)
+                own = flat[n_at[lo] : n_at[hi]]
+                text = np.repeat(np.arange(hi - lo), np.diff(n_at[lo : hi + 1]))
+                g = K.ngrams(h, spec.k)
+                b = K.sliding_argmin(g, spec.width - spec.k + 1)[first[text] + (own >> WIDE)].astype(np.int64)
+                hashes = K.Ranges(h, K.GRAM_BASE)
+                for j in lengths:
+                    for side in (0, 1):
+                        start, stop = (b - j, b) if side == 0 else (b, b + j)
+                        ok = np.flatnonzero((start >= first[text]) & (stop <= first[text + 1]))
+                        key = K.mix(hashes.of(start[ok], stop[ok]) + g[b[ok]] * np.uint64(K.BASE_2) + np.uint64(2 * j + side))
+                        cols = [key.view(np.int64), ids[lo + text[ok]].astype(np.int64), own[ok], b[ok] - first[text[ok]], np.full(len(ok), 2 * j + side, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "at", "b", "side"])
+
+    contexts = written(rows.mapInArrow(run, "h long, doc_id long, at long, b long, side int"), "contexts")
+    met = contexts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    most = lambda side: F.coalesce(F.max(F.when(F.col("side") % 2 == side, F.col("side") / 2)), F.lit(0)).cast("int") + spec.stride - 1
+    far = contexts.join(met, "h").groupBy("doc_id", "at", "b").agg(most(0).alias("left"), most(1).alias("right"))
+    s, e = F.shiftright("at", WIDE), F.shiftright("at", WIDE) + F.col("at").bitwiseAND((1 << WIDE) - 1)
+    far = far.withColumn("s", F.greatest(s, F.col("b") - F.col("left"))).withColumn("e", F.least(e, F.col("b") + F.col("right") - spec.width))
+    return far.where("s <= e").select("doc_id", F.expr(f"shiftleft(s, {WIDE}) + (e - s) as at"))
+
+
 def repeated(docs: DataFrame, spec: Spec, matched: DataFrame, later: bool) -> DataFrame:
     """Window starts to remove: rows (doc_id, spans: array of [a, b], first and last start of a run).
 
@@ -137,17 +175,19 @@ def repeated(docs: DataFrame, spec: Spec, matched: DataFrame, later: bool) -> Da
     mixed = classes.groupBy("fp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     mixed = mixed.where("c > 1" if later else "c > 1 and least = 1").select("fp")
     edges = classes.join(mixed, "fp").select("f.*")
+    if spec.stride:
+        edges = narrowed(docs, edges, spec)
     twice = classes.where("n > 1").select("fp", "r", *(["f"] if later else []))
     whole = seen.join(twice, ["fp", "r"])
-    if later:
-        whole = whole.where("doc_id <> f.doc_id or at <> f.at")
+    if later:  # a class's first record stays: as a null, which no list takes up
+        whole = whole.withColumn("at", F.when(F.expr("doc_id <> f.doc_id or at <> f.at"), F.col("at")))
     single = written(windows(docs, edges, spec), "windows")
     met = single.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).where("n > 1")
     parts = single.join(met, ["w1", "w2"])
     if later:
         parts = parts.where("doc_id <> f.doc_id or i <> f.i")
     spans = whole.select("doc_id", "at").union(parts.selectExpr("doc_id", f"shiftleft(cast(i as long), {WIDE}) as at"))
-    return written(spans.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(merged, "doc_id long, spans array<long>"), "spans")
+    return written(spans.groupBy("doc_id").agg(F.collect_list("at").alias("at")).where("size(at) > 0").mapInArrow(merged, "doc_id long, spans array<long>"), "spans")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
