@@ -91,8 +91,9 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame
     item = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
     item = item.withColumn("n", F.size("w"))
     lengths = sorted(r[0] for r in item.where(f"n < {window}").select("n").distinct().collect())
-    long = cut(item.where(f"n >= {window}"), window, [], {}).select("item_id", F.explode("found").alias("f"))
-    ref = long.select("item_id", "f.*")
+    # Written before it is exploded: a filter on what is exploded would be moved down to the texts and cut them anew for each gram.
+    long = written(cut(item.where(f"n >= {window}"), window, [], {}).select("item_id", "found"), "item-fingerprints")
+    ref = long.select("item_id", F.explode("found").alias("f")).select("item_id", "f.*")
     if lengths:
         short = item.where(f"n < {window}").selectExpr("item_id", "n as kind", "xxhash64(transform(w, x -> xxhash64(x))) as fp", "1 as p", "cast(array() as array<string>) as before", "w as after")
         ref = ref.unionByName(short)
