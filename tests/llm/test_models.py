@@ -84,6 +84,27 @@ def test_less_than_a_block_of_deviation():
         assert all(abs(done[x] - got[x] * t / f) < 1 for x in got)
 
 
+def test_less_than_a_block_of_deviation_from_the_weights():
+    rows = {"hot": 1_500_000} | {f"s{i}": 150_000 for i in range(20)} | {"tiny": 64}
+    blocks, weights = {s: -(-n // op3.BLOCK) for s, n in rows.items()}, op3.weights_of(rows, {"tiny": 1e-5})
+    plan = op3.schedule(blocks, weights)
+    slots = {s: op3.slots_of(p, blocks[s]) for s, p in plan.items()}
+    assert sorted(t for x in slots.values() for t in x.tolist()) == list(range(sum(blocks.values())))
+    end, total = min(p[1][1] for p in plan.values() if len(p) > 1), sum(weights.values())
+    assert end > 50_000
+    for s, x in slots.items():
+        share, done, t = weights[s] / total, 0, 0
+        for at in [*x[x < end].tolist(), end]:
+            assert share * at - done < 1 + 1e-6 and done - share * t < 1 + 1e-6  # before the block, and after the one before it
+            done, t = done + 1, at + 1
+
+
+def test_weights_of_nothing_come_last(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "t") for i in range(100)], "doc_id long, source string, text string")
+    rows = op3.mixed(df, {"a": 1.0, "b": 0.0}, block=4).collect()
+    assert len({r["position"] for r in rows}) == 100 and max(r["slot"] for r in rows if r["source"] == "a") < min(r["slot"] for r in rows if r["source"] == "b")
+
+
 def test_mixing_places_every_row(spark):
     rows = [(i if i % 97 else None, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 5 else None, "t") for i in range(3000)] + [(5, "s5", "t")] * 3
     out = op3.mixed(spark.createDataFrame(rows, "doc_id long, source string, score string"), {"hot": 0.2}, block=8).collect()
