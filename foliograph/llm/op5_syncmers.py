@@ -2,16 +2,17 @@
 
 A 24-byte string of a text is an anchor if the least hash of its 8-byte strings is that of the first or the last
 of them. Whether it is depends on nothing around it, so equal passages have equal anchors wherever they
-stand. ``anchors`` gives them with their places, for positional matching. Texts of under 512 bytes also have anchors of 6
-bytes (3 inside), as they have few or none of the others. The fingerprint keeps
+stand. ``anchors`` gives them with their places, for positional matching. The fingerprint keeps
 the 64 least of their distinct hashes (48 bits each, in hexadecimal, ascending), of which the likeness of two
-texts, the Jaccard similarity of their anchors, is estimated.
+texts, the Jaccard similarity of their anchors, is estimated. Texts of under 512 bytes have few or none of them, and
+so have a second sketch, of anchors of 6 bytes (3 inside), in their fingerprint after a dot. Two such texts are compared by it; if
+one of the two is longer, both are compared by the anchors of 24 bytes, so never different kinds with each other.
 
 For ``with_next`` documents are dealt by ranges of doc_id, whose bounds are ids found in the table, and sorted in each;
 the first document of a range is also sent to the range before as its last neighbour.
 
 Defined results: a null or empty text has an empty fingerprint, which is like an empty one (1) and unlike others (0);
-a text without anchors has its own hash as the only one; rows that repeat a doc_id follow each other in the order of
+a text without anchors of a kind has its own hash as the only one; rows that repeat a doc_id follow each other in the order of
 their texts' hashes; rows without doc_id come first, and the last document is followed by the first that has one.
 """
 
@@ -47,8 +48,8 @@ def anchors(data: np.ndarray, off: np.ndarray, k: int = K_LEN, inner: int = S_LE
     return at, K.Ranges(b, K.BASE_2).of(at, at + k)
 
 
-def sketches(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The KEEP least distinct anchor hashes of each text, 48 bits each, ascending."""
+def sketches(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """The KEEP least distinct anchor hashes of each text, 48 bits each, ascending; of a short text also those of its short anchors."""
     at, h = anchors(data, off)
     cut = np.searchsorted(at, off)
     few = np.flatnonzero(np.diff(off) < SHORT)
@@ -60,24 +61,23 @@ def sketches(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         cut2 = np.searchsorted(at2, ends).tolist()
         more = {d: h2[a:b] for d, a, b in zip(few.tolist(), cut2[:-1], cut2[1:])}
     whole = K.Ranges(BYTES[data], K.BASE_2).of(off[:-1], off[1:])
-    out = []
-    for d in range(len(off) - 1):
-        a, b = cut[d], cut[d + 1]
-        x = h[a:b]
-        if d in more:
-            x = np.concatenate([x, more[d]])
+
+    def least(x, d):
         if not len(x) and off[d + 1] > off[d]:
             x = whole[d : d + 1]
-        out.append(K.unique(x >> np.uint64(16))[:KEEP])
-    return out
+        return K.unique(x >> np.uint64(16))[:KEEP]
+
+    return [(least(h[cut[d] : cut[d + 1]], d), least(more[d], d) if d in more else None) for d in range(len(off) - 1)]
 
 
-def text_of(sketch: np.ndarray) -> str:
-    return "".join(f"{x:012x}" for x in sketch.tolist())
+def text_of(sketch: tuple) -> str:
+    return ".".join("".join(f"{x:012x}" for x in part.tolist()) for part in sketch if part is not None and len(part))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of the least KEEP hashes of both together, the share that both have."""
+def likeness(one: tuple, other: tuple) -> float:
+    """Of the least KEEP hashes of both together, the share that both have; hashes of one kind."""
+    kind = int(one[1] is not None and other[1] is not None)
+    a, b = one[kind], other[kind]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.sort(np.concatenate([a, b]))

@@ -190,6 +190,18 @@ def test_fingerprints(spark):
     assert by_id(op5.fingerprints(docs_of(spark, rows)))[14]["fingerprint"] == got[14]["fingerprint"]
 
 
+def test_fingerprints_at_the_limit_of_short_texts(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200))
+    sizes = [505, 511, 512, 515, 500, 520, 490, 530]
+    got = by_id(op5.with_next(docs_of(spark, [(i, text[:n]) for i, n in enumerate(sizes)])))
+    assert all(got[i]["near_next"] > 0.85 for i in range(len(sizes) - 1))
+    # The edit shortens the text from 540 to 490 bytes, of which 270 are kept.
+    (r, _) = op5.with_next(docs_of(spark, [(1, text[:540]), (2, text[600:820])])).orderBy("doc_id").collect()
+    assert r["near_edited"] > 0.3
+    assert [f.count(".") for f in (got[0]["fingerprint"], got[2]["fingerprint"])] == [1, 0]
+
+
 def test_fingerprints_of_few(spark):
     assert op5.with_next(docs_of(spark, [])).count() == 0
     (r,) = op5.with_next(docs_of(spark, [(7, "only this text")])).collect()
