@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line with licence vocabulary (``VOCABULARY``). Its words and pairs of words are joined with
+A paragraph is a line with licence vocabulary (``VOCABULARY``, which may begin on the line before) that is confirmed by itself,
+or else the run of neighbouring lines around such a line that holds the most of a template. Runs end at lines without words and at lines
+confirmed by themselves; as lines between the ends of a template's text have no more words than the template, longer runs aren't needed. Its words and pairs of words are joined with
 the weights of a sparse multinomial logistic regression over licence families, which has a class for anything else.
 The weights are fitted on the driver, with an L1 penalty, from crops of the templates below set in
 other words, and from sentences that only sound alike; a temperature fitted on crops kept apart calibrates the
@@ -19,9 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sized, table
+from .shared import sized, table, written
 
 VOCABULARY = ("licens", "licenc", "copyright", "public domain", "spdx", "redistribut", "warrant", "permission is", "all rights reserved", "creative commons", "cc by", "cc0")
+#: Of the vocabulary's phrases, the words by which a text is found that has them on two lines, and the places where they break.
+PHRASES = (("public", "domain"), ("permission", "is"), ("rights", "reserved"), ("creative", "commons"), ("cc", "by"))
+SEAMS = ("public | domain", "permission | is", "all | rights reserved", "all rights | reserved", "creative | commons", "cc | by")
 SEPARATORS = r"[\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+|\.(?![0-9])"
 CONFIDENT, HOLDS = 0.5, 0.6
 
@@ -136,6 +141,9 @@ def model(seed: int = 9, l1: float = 0.0015, rounds: int = 400):
     return rows, {f: float(v) for f, v in zip(families, b)}, float(best)
 
 
+LONGEST = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def words(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_remove(F.split(lower, SEPARATORS), "")
@@ -149,30 +157,92 @@ def has_vocabulary(text: Column) -> Column:
     return out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """rows (doc_id, line, family, probability, holds, confirmed) of the lines with licence vocabulary."""
-    spark = docs.sparkSession
+def bound(value: str, body: str) -> str:
+    """SQL of body with v for value, evaluated once; a column in a lambda may be evaluated for every element."""
+    return f"get(transform(array({value}), v -> {body}), 0)"
+
+
+def vocabulary_lines(docs: DataFrame) -> DataFrame:
+    """rows (doc_id, text_, words of each line, numbers of the lines with vocabulary) of the texts that have it."""
+    lower = F.lower("text")
+    some = has_vocabulary(F.col("text"))
+    for first, second in PHRASES:
+        some = some | (F.contains(lower, F.lit(first)) & F.contains(lower, F.lit(second)))
+    docs = docs.where(F.col("doc_id").isNotNull() & some).select("doc_id", "text").distinct()
+    lines = F.split("text", "\n")
+    own = F.transform(lines, has_vocabulary)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_"), F.transform(lines, words).alias("lines"), own.alias("own"))
+    seam = "array_join(concat(slice(get(v.l, i - 1), greatest(1, size(get(v.l, i - 1)) - 1), 2), array('|'), slice(get(v.l, i), 1, 2)), ' ')"
+    split = " or ".join(f"contains({seam}, '{cut}')" for cut in SEAMS)
+    at = F.expr(bound("named_struct('l', lines, 'own', own)", f"filter(sequence(0, size(v.l) - 1), i -> get(v.own, i) or (i > 0 and ({split})))"))
+    return rows.select("doc_id", "text_", "lines", at.alias("at")).where("size(at) > 0")
+
+
+def judged(runs: DataFrame) -> DataFrame:
+    """runs (doc_id, text_, start, stop, w) with family, probability, holds, confirmed."""
+    spark = runs.sparkSession
     weights, bias, temperature = model()
-    some = docs.where(F.col("doc_id").isNotNull() & has_vocabulary(F.col("text"))).select("doc_id", "text").distinct()
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(has_vocabulary(F.col("t")))
-    lines = lines.select("doc_id", "line", words(F.col("t")).alias("w"))
+    key = ["doc_id", "text_", "start", "stop"]
     grams = F.expr("array_distinct(concat(w, transform(case when size(w) > 1 then sequence(1, size(w) - 1) else array() end, i -> concat(element_at(w, i), ' ', element_at(w, i + 1)))))")
     w = spark.createDataFrame(weights, "gram string, family string, weight double")
-    met = lines.select("doc_id", "line", F.explode(grams).alias("gram")).join(sized(w, 64, len(weights)), "gram")
-    by = met.groupBy("doc_id", "line", "family").agg(F.sum("weight").alias("s"))
+    met = runs.select(*key, F.explode(grams).alias("gram")).join(sized(w, 64, len(weights)), "gram")
+    by = met.groupBy(*key, "family").agg(F.sum("weight").alias("s"))
     b = spark.createDataFrame(list(bias.items()), "family string, bias double")
     by = by.join(sized(b, 64, len(bias)), "family").withColumn("z", (F.col("s") + F.col("bias")) / temperature)
     rest = sum(np.exp(v / temperature) for v in bias.values())
     total = F.lit(float(rest)) + F.sum(F.exp("z") - F.exp(F.col("bias") / temperature))
-    best = by.groupBy("doc_id", "line").agg(F.max(F.struct("z", "family")).alias("m"), total.alias("total"))
-    best = best.select("doc_id", "line", F.col("m.family").alias("family"), (F.exp("m.z") / F.col("total")).alias("probability"))
+    best = by.groupBy(*key).agg(F.max(F.struct("z", "family")).alias("m"), total.alias("total"))
+    best = best.select(*key, F.col("m.family").alias("family"), (F.exp("m.z") / F.col("total")).alias("probability"))
     known = spark.createDataFrame([(f, sorted(set(words_of(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
     known = known.groupBy("family").agg(F.collect_list("template").alias("templates"))
-    out = lines.join(best, ["doc_id", "line"], "left").join(sized(known, 2048, len(TEMPLATES)), "family", "left")
+    out = runs.join(best, key, "left").join(sized(known, 2048, len(TEMPLATES)), "family", "left")
     holds = F.expr("coalesce(array_max(transform(templates, t -> size(array_intersect(t, w)) / size(t))), 0D)")
     out = out.withColumn("holds", holds).withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     sure = (F.col("probability") >= CONFIDENT) & (F.col("holds") >= HOLDS) & (F.col("family") != "unknown")
-    return out.select("doc_id", "line", F.coalesce("family", F.lit("unknown")).alias("family"), "probability", "holds", F.coalesce(sure, F.lit(False)).alias("confirmed"))
+    return out.select(*key, F.coalesce("family", F.lit("unknown")).alias("family"), "probability", "holds", F.coalesce(sure, F.lit(False)).alias("confirmed"))
+
+
+def runs_around(texts: DataFrame) -> DataFrame:
+    """rows (doc_id, text_, line, start, stop, w): runs of lines around each of the lines ``open`` that may hold a template.
+
+    Of the first and the last line only the words next to the others are taken, as many as the longest template has.
+    """
+    known = ", ".join(f"array({', '.join(repr(w) for w in sorted(set(words_of(t))))})" for ts in TEMPLATES.values() for t in ts)
+    may = lambda w: F.expr(bound(w, f"exists(array({known}), t -> size(array_intersect(t, v)) / size(t) >= {HOLDS}D)"))
+    run = f"concat(slice(get(lines, {{a}}), greatest(1, size(get(lines, {{a}})) - {LONGEST - 1}), {LONGEST}), flatten(slice(lines, {{a}} + 2, greatest(0, {{b}} - {{a}} - 1))), slice(get(lines, {{b}}), 1, {LONGEST}))"
+    stops = "size(get(lines, j)) = 0 or array_contains(alone, j)"
+    df = texts.withColumn("line", F.explode("open"))
+    low, high = f"greatest(0, line - {LONGEST + 1})", f"least(size(lines) - 1, line + {LONGEST + 1})"
+    df = df.withColumn("low", F.expr(f"coalesce(array_max(filter(sequence({low}, line), j -> j < line and ({stops}))) + 1, {low})"))
+    df = df.withColumn("high", F.expr(f"coalesce(array_min(filter(sequence(line, {high}), j -> j > line and ({stops}))) - 1, {high})"))
+    df = df.where("low < high").withColumn("lines", F.expr("slice(lines, low + 1, high - low + 1)")).withColumn("i", F.expr("line - low"))
+    df = df.where(may("flatten(lines)"))
+    inner = "aggregate(slice(v.l, a + 2, greatest(0, b - a - 1)), 0, (n, l) -> n + size(l))"
+    pairs = bound("named_struct('l', lines, 'i', i)", f"flatten(transform(sequence(0, v.i), a -> transform(filter(sequence(v.i, size(v.l) - 1), b -> b > a and {inner} <= {LONGEST}), b -> named_struct('a', a, 'b', b))))")
+    df = df.withColumn("r", F.explode(F.expr(pairs))).withColumn("w", F.expr(run.format(a="r.a", b="r.b"))).where(may("w"))
+    return df.select("doc_id", "text_", "line", F.expr("low + r.a").alias("start"), F.expr("low + r.b").alias("stop"), "w")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """rows (doc_id, line, family, probability, holds, confirmed) of the paragraphs; line is the first of them."""
+    key = ["doc_id", "text_"]
+    texts = written(vocabulary_lines(docs), "vocabulary-lines")
+    lines = texts.select(*key, "lines", F.explode("at").alias("start"))
+    lines = written(judged(lines.select(*key, "start", F.col("start").alias("stop"), F.expr("get(lines, start)").alias("w"))), "lines")
+    split = lines.groupBy(*key).agg(F.collect_list(F.when(F.col("confirmed"), F.col("start"))).alias("alone"), F.collect_list(F.when(~F.col("confirmed"), F.col("start"))).alias("open"))
+    around = written(runs_around(texts.join(split.where("size(open) > 0"), key)), "runs")
+    runs = judged(around.select(*key, "start", "stop", "w").distinct()).where("confirmed")
+    most = F.max_by(F.struct("start", "stop", "family", "probability", "holds", "confirmed"), F.struct("holds", F.expr("start - stop"), -F.col("start")))
+    of_line = written(around.select(*key, "line", "start", "stop").join(runs, [*key, "start", "stop"]).groupBy(*key, "line").agg(most.alias("m")), "runs-of-lines")
+    rest = lines.join(of_line.select(*key, F.col("line").alias("start")), [*key, "start"], "left_anti")
+    # Runs of one family that overlap are one paragraph.
+    ahead = "max(stop) over (partition by doc_id, text_, family order by start, stop rows between unbounded preceding and 1 preceding)"
+    found = of_line.select(*key, "m.*").distinct().withColumn("new", F.expr(f"int(coalesce(start > {ahead}, true))"))
+    found = found.withColumn("n", F.expr("sum(new) over (partition by doc_id, text_, family order by start, stop rows unbounded preceding)"))
+    found = found.groupBy(*key, "family", "n").agg(F.min("start").alias("start"), F.max(F.struct("holds", "probability")).alias("m"))
+    found = found.select("doc_id", "start", "family", "m.probability", "m.holds", F.lit(True).alias("confirmed"))
+    out = rest.select("doc_id", "start", "family", "probability", "holds", "confirmed").union(found)
+    return out.select("doc_id", F.col("start").alias("line"), "family", "probability", "holds", "confirmed")
 
 
 def licences(docs: DataFrame) -> DataFrame:

@@ -157,3 +157,22 @@ def test_licences(spark):
     assert len(rows) == 12
     assert got == {1: "Apache-2.0", 2: "MIT", 3: "GPL-3.0", 4: "CC-BY-NC", 5: "", 6: "", 7: "", 8: "proprietary", 9: "", 10: "Apache-2.0,MIT", None: ""}
     assert op9.licences(docs.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_licences(spark):
+    texts = [(t, f) for f, t in WRAPPED.items()]
+    texts += [("Some code.\n\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n *\n * More text.", f) for t, f in texts]
+    texts += [(t.replace(" ", "\n"), f) for f, t in WRAPPED.items()]
+    texts += [(WRAPPED["MIT"] + "\n\n" + WRAPPED["GPL-3.0"], "GPL-3.0,MIT"), (WRAPPED["BSD"] + "\nReleased under the MIT License.\nher licence to drive\nwas taken", "BSD,MIT")]
+    texts += [("the driver lost her\nlicense and had to renew it\nat the office of the town", ""), (WRAPPED["MIT"].replace("\n", "\n\n"), "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9.licences(docs).collect()}
+    assert [got[i]["licences"] for i in range(len(texts))] == [f for _, f in texts]
+    assert [got[i]["n_confirmed"] for i in range(6)] == [1] * 6 and got[9]["n_confirmed"] == got[10]["n_confirmed"] == 2
