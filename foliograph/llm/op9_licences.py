@@ -1,20 +1,27 @@
 """Licence scan: a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line with licence vocabulary (``VOCABULARY``, which may begin on the line before) that is confirmed by itself,
-or else the run of neighbouring lines around such a line that holds the most of a template. Runs end at lines without words and at lines
-confirmed by themselves; as lines between the ends of a template's text have no more words than the template, longer runs aren't needed. Its words and pairs of words are joined with
-the weights of a sparse multinomial logistic regression over licence families, which has a class for anything else.
-The weights are fitted on the driver, with an L1 penalty, from crops of the templates below set in
-other words, and from sentences that only sound alike; a temperature fitted on crops kept apart calibrates the
-probabilities. A family is confirmed if the paragraph holds most words of one of its templates.
-
-Defined results: null and empty texts have no paragraphs; a paragraph whose best class is the unknown one, is under
-``CONFIDENT``, or isn't confirmed by a template counts as unknown; rows that repeat a doc_id count together, and each is
-returned; documents without doc_id are returned without findings; other columns stay out of it.
+A paragraph is a line, or a run of neighbouring lines, that holds enough words of a licence template to be confirmed by it
+(``HOLDS``), and the classifier sees every one of them. No list of words decides which: of any paragraph that holds n of a template's m
+words, at least one is among any m - n + 1 of them, so lines are looked up by the m - n + 1 rarest words of each template
+(``anchors``), and others can't be part of a paragraph that is confirmed without one of these.
+
+A line that is confirmed by itself is a paragraph; else the run of lines around it that holds the most of a template. Runs end at lines
+without words and at lines confirmed by themselves; as lines between the ends of a template's text have no more words than the template,
+longer runs aren't needed. A paragraph's words and pairs of words are joined with the weights of a sparse multinomial logistic regression
+over licence families, which has a class for anything else. The weights are fitted on the driver, with an L1 penalty, from crops of the
+templates below set in other words, and from sentences that only sound alike; a temperature fitted on crops kept apart calibrates
+the probabilities. A family is confirmed if the paragraph holds most words of one of its templates.
+
+Defined results: an empty table gives no rows; null and empty texts have no paragraphs; a line looked up whose best class is the unknown one, is
+under ``CONFIDENT``, or isn't confirmed by a template counts as unknown; rows that repeat a doc_id count together, equal texts once, and each row is
+returned; documents without doc_id are returned without findings; other columns stay out of it. The words of a text's lines are held whole, some
+60 bytes for each word of the longest text.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,10 +30,6 @@ from pyspark.sql import functions as F
 
 from .shared import sized, table, written
 
-VOCABULARY = ("licens", "licenc", "copyright", "public domain", "spdx", "redistribut", "warrant", "permission is", "all rights reserved", "creative commons", "cc by", "cc0")
-#: Of the vocabulary's phrases, the words by which a text is found that has them on two lines, and the places where they break.
-PHRASES = (("public", "domain"), ("permission", "is"), ("rights", "reserved"), ("creative", "commons"), ("cc", "by"))
-SEAMS = ("public | domain", "permission | is", "all | rights reserved", "all rights | reserved", "creative | commons", "cc | by")
 SEPARATORS = r"[\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+|\.(?![0-9])"
 CONFIDENT, HOLDS = 0.5, 0.6
 
@@ -84,9 +87,11 @@ OTHER = [
 FILLER = "the and of to in is that it for on with as this by from at are was be or have an they which one you all were her there been their has would".split()
 
 
-def words_of(text: str) -> list[str]:
-    import re
+# Frequent words of English, the most frequent first, which are the last to be taken as anchors.
+COMMON = [*FILLER, *"a an i you he she we not no any all may if can do but or so its these out up about into more than other some such only new also who what when under must part free use used".split()]
+
 
+def words_of(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
 
 
@@ -149,33 +154,28 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def has_vocabulary(text: Column) -> Column:
-    lower = F.lower(text)
-    out = F.contains(lower, F.lit(VOCABULARY[0]))
-    for v in VOCABULARY[1:]:
-        out = out | F.contains(lower, F.lit(v))
-    return out
-
-
 def bound(value: str, body: str) -> str:
     """SQL of body with v for value, evaluated once; a column in a lambda may be evaluated for every element."""
     return f"get(transform(array({value}), v -> {body}), 0)"
 
 
-def vocabulary_lines(docs: DataFrame) -> DataFrame:
-    """rows (doc_id, text_, words of each line, numbers of the lines with vocabulary) of the texts that have it."""
-    lower = F.lower("text")
-    some = has_vocabulary(F.col("text"))
-    for first, second in PHRASES:
-        some = some | (F.contains(lower, F.lit(first)) & F.contains(lower, F.lit(second)))
-    docs = docs.where(F.col("doc_id").isNotNull() & some).select("doc_id", "text").distinct()
-    lines = F.split("text", "\n")
-    own = F.transform(lines, has_vocabulary)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_"), F.transform(lines, words).alias("lines"), own.alias("own"))
-    seam = "array_join(concat(slice(get(v.l, i - 1), greatest(1, size(get(v.l, i - 1)) - 1), 2), array('|'), slice(get(v.l, i), 1, 2)), ' ')"
-    split = " or ".join(f"contains({seam}, '{cut}')" for cut in SEAMS)
-    at = F.expr(bound("named_struct('l', lines, 'own', own)", f"filter(sequence(0, size(v.l) - 1), i -> get(v.own, i) or (i > 0 and ({split})))"))
-    return rows.select("doc_id", "text_", "lines", at.alias("at")).where("size(at) > 0")
+def anchors() -> list[str]:
+    """Words of which every paragraph that a template can confirm has at least one; rare and long ones first."""
+    found: set[str] = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        own = sorted(set(words_of(t)), key=lambda w: (w in COMMON, -COMMON.index(w) if w in COMMON else -len(w), w))
+        found |= set(own[: len(own) - math.ceil(HOLDS * len(own) - 1e-9) + 1])
+    return sorted(found)
+
+
+def anchored_lines(docs: DataFrame) -> DataFrame:
+    """rows (doc_id, text_, start, w) of the lines that have an anchor: number and words."""
+    by_first = {w[0]: [re.escape(x[1:]) for x in anchors() if x[0] == w[0]] for w in anchors()}
+    near = "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(near))
+    lines = lines.select("doc_id", F.xxhash64("text").alias("text_"), F.posexplode(F.split("text", "\n")).alias("start", "line"))
+    rare = F.array(*[F.lit(a) for a in anchors()])
+    return lines.where(F.col("line").rlike(near)).withColumn("w", words(F.col("line"))).where(F.arrays_overlap("w", rare)).drop("line").dropDuplicates(["doc_id", "text_", "start"])
 
 
 def judged(runs: DataFrame) -> DataFrame:
@@ -208,7 +208,8 @@ def runs_around(texts: DataFrame) -> DataFrame:
     Of the first and the last line only the words next to the others are taken, as many as the longest template has.
     """
     known = ", ".join(f"array({', '.join(repr(w) for w in sorted(set(words_of(t))))})" for ts in TEMPLATES.values() for t in ts)
-    may = lambda w: F.expr(bound(w, f"exists(array({known}), t -> size(array_intersect(t, v)) / size(t) >= {HOLDS}D)"))
+    every = ", ".join(repr(w) for w in sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)}))
+    may = lambda w: F.expr(bound(f"array_intersect({w}, array({every}))", f"exists(array({known}), t -> size(t) * {HOLDS}D <= size(v) and size(array_intersect(t, v)) / size(t) >= {HOLDS}D)"))
     run = f"concat(slice(get(lines, {{a}}), greatest(1, size(get(lines, {{a}})) - {LONGEST - 1}), {LONGEST}), flatten(slice(lines, {{a}} + 2, greatest(0, {{b}} - {{a}} - 1))), slice(get(lines, {{b}}), 1, {LONGEST}))"
     stops = "size(get(lines, j)) = 0 or array_contains(alone, j)"
     df = texts.withColumn("line", F.explode("open"))
@@ -226,11 +227,13 @@ def runs_around(texts: DataFrame) -> DataFrame:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """rows (doc_id, line, family, probability, holds, confirmed) of the paragraphs; line is the first of them."""
     key = ["doc_id", "text_"]
-    texts = written(vocabulary_lines(docs), "vocabulary-lines")
-    lines = texts.select(*key, "lines", F.explode("at").alias("start"))
-    lines = written(judged(lines.select(*key, "start", F.col("start").alias("stop"), F.expr("get(lines, start)").alias("w"))), "lines")
+    lines = written(anchored_lines(docs), "anchored-lines")
+    lines = written(judged(lines.select(*key, "start", F.col("start").alias("stop"), "w")), "lines")
     split = lines.groupBy(*key).agg(F.collect_list(F.when(F.col("confirmed"), F.col("start"))).alias("alone"), F.collect_list(F.when(~F.col("confirmed"), F.col("start"))).alias("open"))
-    around = written(runs_around(texts.join(split.where("size(open) > 0"), key)), "runs")
+    split = written(split.where("size(open) > 0"), "open-lines")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_")).join(sized(split.select(*key), 48), key, "left_semi").dropDuplicates(key)
+    texts = texts.select(*key, F.transform(F.split("text", "\n"), words).alias("lines"))
+    around = written(runs_around(texts.join(split, key)), "runs")
     runs = judged(around.select(*key, "start", "stop", "w").distinct()).where("confirmed")
     most = F.max_by(F.struct("start", "stop", "family", "probability", "holds", "confirmed"), F.struct("holds", F.expr("start - stop"), -F.col("start")))
     of_line = written(around.select(*key, "line", "start", "stop").join(runs, [*key, "start", "stop"]).groupBy(*key, "line").agg(most.alias("m")), "runs-of-lines")
