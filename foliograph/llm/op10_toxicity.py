@@ -5,8 +5,10 @@ Features are the presence of words, their stems (first 7 bytes), pairs of neighb
 two small arrays. Training: ``epochs`` passes over at most ``most`` labelled documents that are not
 held out, the rarer class weighted up. All documents are scored over their whole texts.
 
-Defined results: a null or empty text has no features and gets the score of the bias; without labels of both kinds every
-score is the labels' share of 1 (0 without labels). Other columns are left alone, doc_id, lang and source never read.
+Defined results: an empty table gives no rows; a null or empty text has no features and gets the score of the bias; without labels of both
+kinds every score is the labels' share of 1 (0 without labels); rows that repeat a doc_id are scored each, by their own text, and of several
+labels the least counts. Other columns are not read, doc_id, lang and source least of all. A text is never cut, so an executor needs some
+40 bytes of memory for each byte of the longest one.
 """
 
 from __future__ import annotations

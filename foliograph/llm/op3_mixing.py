@@ -11,8 +11,8 @@ source may hold any part of the rows. The driver gets a count for each source, n
 a slot of 8 bytes for each block; documents get theirs by a join on runs of ``RUN`` blocks.
 
 Defined results: a null source is a source of its own; sources without a weight share what the others leave in
-proportion to the square root of their rows; a null doc_id counts as 0 in the order; rows that repeat are placed each; an empty table gives no rows; other
-columns are kept, but may not be called slot, block, place or position; a source of weight 0 comes after all others.
+proportion to the square root of their rows; a null doc_id counts as 0 in the order; rows that repeat are placed each; an empty table gives no rows; texts are not
+read; other columns are kept, and those that have the name of one of the four new ones are replaced; a source of weight 0 comes after all others.
 """
 
 from __future__ import annotations
@@ -162,17 +162,21 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, fram
     runs = [(s, i, x[i * RUN : (i + 1) * RUN].tolist()) for s, x in slots.items() for i in range(math.ceil(len(x) / RUN))]
     placed = spark.createDataFrame(runs, "s_ string, run_ long, slots_ array<long>")
     h = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), F.lit(seed))
-    keyed = docs.withColumn("h_", h).withColumn("bucket_", F.expr(f"cast(shiftrightunsigned(h_, 11) / {float(1 << 53)!r}D * {buckets} as int)"))
-    size = keyed.groupBy("source", "bucket_").agg(F.count("*").alias("n"))
-    before = F.expr("coalesce(sum(n) over (partition by source order by bucket_ rows between unbounded preceding and 1 preceding), 0)")
-    offsets = size.select(F.col("source").alias("s_"), F.col("bucket_").alias("b_"), before.alias("before_"))
-    ranked = keyed.withColumn("rank_", F.expr("row_number() over (partition by source, bucket_ order by h_, doc_id)"))
-    ranked = ranked.join(sized(offsets, 64, buckets * max(1, len(rows))), F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket_") == F.col("b_"))).drop("s_", "b_")
-    at = ranked.withColumn("at_", F.expr("before_ + rank_ - 1"))
-    at = at.withColumn("block", F.expr(f"at_ div {block}")).withColumn("place", F.expr(f"at_ % {block}"))
+    lost = {"block", "slot", "place", "position"}
+    names = [c for c in docs.columns if c.lower() not in lost]
+    # The row goes through as one column, so that none of its names can meet one of these.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), F.col("doc_id"), h.alias("h"))
+    keyed = keyed.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(h, 11) / {float(1 << 53)!r}D * {buckets} as int)"))
+    size = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = F.expr("coalesce(sum(n) over (partition by source order by bucket rows between unbounded preceding and 1 preceding), 0)")
+    offsets = size.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
+    ranked = keyed.withColumn("rank", F.expr("row_number() over (partition by source, bucket order by h, doc_id)"))
+    ranked = ranked.join(sized(offsets, 64, buckets * max(1, len(rows))), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    at = ranked.withColumn("at", F.expr("before + rank - 1"))
+    at = at.withColumn("block", F.expr(f"at div {block}")).withColumn("place", F.expr(f"at % {block}"))
     at = at.join(sized(placed, 8 * RUN + 64, len(runs)), F.col("source").eqNullSafe(F.col("s_")) & (F.expr(f"block div {RUN}") == F.col("run_")))
     at = at.withColumn("slot", F.expr(f"get(slots_, cast(block % {RUN} as int))"))
-    return at.select(*docs.columns, "block", "slot", "place", F.expr(f"slot * {block} + place").alias("position"))
+    return at.select("row.*", "block", "slot", "place", F.expr(f"slot * {block} + place").alias("position"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ Every line is good or bad. Its features are shares of kinds of characters, word
 in a few bins, its own and those of the lines before and after. Forward-backward gives each line's
 marginal; their mean, weighted by length, is mapped to a probability by a logistic curve. Weights are fitted by
 gradient ascent on the chains' conditional likelihood, lines having their document's label, from at most
-``most`` labelled documents (``lines`` lines of each) that are not held out. All documents are scored, over
+``most`` labelled documents that are not held out, all of their lines. All documents are scored, over
 all of their lines.
 
-Defined results: a null or empty text is scored as one empty line; without labels of both kinds every score
-is the labels' share of 1 (0.5 without labels). Other columns are left alone, doc_id, lang and source never read.
+Defined results: an empty table gives no rows; a null or empty text is scored as one empty line; without labels of both kinds every score
+is the labels' share of 1 (0.5 without labels); rows that repeat a doc_id are scored each, by their own text, and of several labels
+the least counts; a column of the name of the new one is replaced, others are left alone, doc_id, lang and source never read. A text is never cut, so
+an executor needs some 30 bytes of memory for each byte of the longest one, and the driver some 500 for each line of the sample.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import kernel as K
 from .labelled import held_out, sample
 from .shared import table
 
-MOST_DOCUMENTS, MOST_LINES = 6000, 400
+MOST_DOCUMENTS = 6000
 NOT_NEWLINE = np.ones(256, bool)
 NOT_NEWLINE[10] = False
 WORDS = K.byte_table(41, lower=True, zero=K.SPACES)
@@ -173,6 +175,32 @@ def scores(m: Model, bins, size, first) -> np.ndarray:
     return sigmoid(m.curve[0] * log_odds(good_share(m, bins, size, first)) + m.curve[1])
 
 
+def gradient(m: Model, bins: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the weighted conditional log-likelihood, by the weights of the emissions, the bias and the two of staying."""
+    inner = np.ones(len(label) + 1, bool)
+    inner[first] = False
+    inner = inner[1:-1]
+    pair = weight[1:] * inner
+    s = emissions(m, bins, first)
+    fore, back = chains(s, first, m.stay)
+    r = (label - sigmoid(s + fore + back)) * weight
+    left, right = (s + fore)[:-1], (s + back)[1:]
+    both = np.stack([left + right + m.stay[0], np.broadcast_to(m.stay[1], left.shape), left, right])
+    both = np.exp(both - both.max(axis=0))
+    both /= both.sum(axis=0)
+    grad = np.empty(3 * N * BINS + 3)
+    g = grad[:-3].reshape(3, N * BINS)
+    shifted = (np.append(r[1:] * inner, 0), r, np.append(0, r[:-1] * inner))
+    for side in range(3):
+        for f in range(N):
+            g[side, f * BINS : (f + 1) * BINS] = np.bincount(bins[f], shifted[side], minlength=BINS)
+    grad[-3] = r.sum()
+    one = label[1:] * label[:-1]
+    none = (1 - label[1:]) * (1 - label[:-1])
+    grad[-2], grad[-1] = (pair * (one - both[0])).sum(), (pair * (none - both[1])).sum()
+    return grad
+
+
 def fit(bins: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.3) -> Model:
     """Adam on the mean conditional log-likelihood of a line, with an L2 penalty."""
     zero = np.zeros((3, N, BINS))
@@ -183,32 +211,11 @@ def fit(bins: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray, ro
     label = np.repeat(y, lens).astype(float)
     weight = np.repeat(1 / np.sqrt(lens), lens)  # long texts count, though not by all of their lines
     weight /= weight.sum()
-    inner = np.ones(len(label) + 1, bool)
-    inner[first] = False
-    inner = inner[1:-1]
-    pair = weight[1:] * inner
-    flat = bins + (np.arange(N) * BINS)[:, None]
     theta = np.zeros(3 * N * BINS + 3)
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         m.emission, m.bias, m.stay = theta[:-3].reshape(3, N, BINS), theta[-3], theta[-2:]
-        s = emissions(m, bins, first)
-        fore, back = chains(s, first, m.stay)
-        r = (label - sigmoid(s + fore + back)) * weight
-        left, right = (s + fore)[:-1], (s + back)[1:]
-        both = np.stack([left + right + m.stay[0], np.broadcast_to(m.stay[1], left.shape), left, right])
-        both = np.exp(both - both.max(axis=0))
-        both /= both.sum(axis=0)
-        grad = np.empty_like(theta)
-        g = grad[:-3].reshape(3, N * BINS)
-        shifted = (np.append(r[1:] * inner, 0), r, np.append(0, r[:-1] * inner))
-        for side in range(3):
-            for f in range(N):
-                g[side, f * BINS : (f + 1) * BINS] = np.bincount(bins[f], shifted[side], minlength=BINS)
-        grad[-3] = r.sum()
-        one = label[1:] * label[:-1]
-        none = (1 - label[1:]) * (1 - label[:-1])
-        grad[-2], grad[-1] = (pair * (one - both[0])).sum(), (pair * (none - both[1])).sum()
+        grad = gradient(m, bins, first, label, weight)
         grad -= 2e-5 * theta
         grad[-2:] -= 2e-3 * theta[-2:]
         mean = 0.9 * mean + 0.1 * grad
@@ -228,13 +235,13 @@ def fit(bins: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray, ro
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, lines: int = MOST_LINES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> Model:
     def run(batches):
         for batch in batches:
             out = []
             for _, _, data, off in K.chunks(batch.column(0)):
                 bins, size, first = line_bins(data, off)
-                for a, b in zip(first[:-1], np.minimum(first[1:], first[:-1] + lines)):
+                for a, b in zip(first[:-1], first[1:]):
                     out.append((bins[:, a:b].tobytes(), size[a:b].astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), batch.column(1)], ["bins", "size", "y"])
 
@@ -248,17 +255,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, lines:
     return fit(bins, size, first, np.array([r["y"] for r in rows], float))
 
 
-def quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score."""
-    names = docs.columns
+def quality(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """docs with a score."""
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
             out = [scores(model, *line_bins(data, off)) for _, _, data, off in K.chunks(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, into])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "score double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"`{into}` double"]))
 
 
 def op4_quality_crf(spark, sf_dir: str) -> DataFrame:

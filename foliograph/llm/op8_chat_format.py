@@ -11,8 +11,10 @@ takes away; so no text can open or close a turn, and the formatted conversation
 is a list of stretches (in code points) that cover the texts of the assistant, once each.
 
 Rows are shuffled by conversation and sorted by turn, then formatted as they stream by. Defined results: a null
-text or role is empty; a null turn comes first; rows of one turn are ordered by role, then text; a null conv_id
-is a conversation of its own; a text that isn't a JSON list of parts is one text part.
+text or role is empty; a null turn comes first; rows of one turn, repeated ones too, are ordered by role, then text, and all stay; a null conv_id
+is a conversation of its own, of any type of conv_id; a text that isn't a JSON list of well-formed parts (a kind of its own, a text or
+reference that is a string or absent, sizes that are numbers within bounds or absent) is one text part; an empty table gives no rows; other
+columns are not read. A conversation is one string, so the longest one must fit an executor, in some 10 bytes a character.
 """
 
 from __future__ import annotations
@@ -92,10 +94,20 @@ class Visitor:
         self._attach("audio", part.get("ref") or "", max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)), out)
 
     def on_document(self, part, out: Flat) -> None:
-        self._attach("document", part.get("ref") or "", max(1, part.get("pages") or 1) * self.page_tokens, out)
+        self._attach("document", part.get("ref") or "", max(1, math.ceil(part.get("pages") or 1)) * self.page_tokens, out)
 
 
-KINDS = {"text", "image", "audio", "document"}
+#: The fields of each kind of part: the string, and the numbers with the most that each may be.
+KINDS = {"text": ("text", {}), "image": ("ref", {"width": 28_672, "height": 28_672}), "audio": ("ref", {"seconds": 40_000}), "document": ("ref", {"pages": 4_096})}
+
+
+def well_formed(part) -> bool:
+    """A part that the visitor can take; its size is that of something that exists."""
+    if not isinstance(part, dict) or not isinstance(part.get("type"), str) or part["type"] not in KINDS:
+        return False
+    string, numbers = KINDS[part["type"]]
+    fits = lambda x, most: x is None or isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= most
+    return isinstance(part.get(string), (str, type(None))) and all(fits(part.get(k), most) for k, most in numbers.items())
 
 
 def content_of(text: str | None, typed: bool):
@@ -103,9 +115,9 @@ def content_of(text: str | None, typed: bool):
     if typed and text and text.lstrip().startswith("["):
         try:
             parts = json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return text
-        if parts and isinstance(parts, list) and all(isinstance(p, dict) and p.get("type") in KINDS for p in parts):
+        if parts and isinstance(parts, list) and all(map(well_formed, parts)):
             return parts
     return text or ""
 
@@ -116,22 +128,22 @@ FORMATTED = "formatted string, n_turns long, loss array<struct<start:long,stop:l
 def formatted(rows: DataFrame, typed: bool = True, learn: str = "assistant") -> DataFrame:
     """One row for each conversation: its formatted text, loss mask, attachments and token count."""
     kind = dict(rows.dtypes)["conv_id"]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     att_type = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         visitor, done, size = Visitor(), [], 0
-        now = pieces = None
+        now = pieces = id_type = None
 
         def close():
             done.append((now, "".join(pieces), turns, loss, attached, tokens))
 
         def batch_of(done):
             c = list(zip(*done))
-            return pa.RecordBatch.from_arrays([pa.array(c[0], kinds[kind]), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], loss_type), pa.array(c[4], att_type), pa.array(c[5], pa.int64())], ["conv_id", "formatted", "n_turns", "loss", "attachments", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], loss_type), pa.array(c[4], att_type), pa.array(c[5], pa.int64())], ["conv_id", "formatted", "n_turns", "loss", "attachments", "tokens"])
 
         for batch in batches:
+            id_type = batch.column(0).type
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
                 if pieces is None or conv != now:
                     if pieces is not None:
