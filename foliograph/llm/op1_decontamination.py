@@ -5,15 +5,15 @@ least is kept, the leftmost of equals. Equal windows keep equal grams, so every
 or more meets in a fingerprint. Documents' fingerprints are joined with the benchmark's, and a hit is extended word
 by word to both sides; it counts if ten words in a row agree.
 
-Before the join, documents' grams are looked up in a bitmap of the benchmark's fingerprints. Its size is fixed
-(``SLOTS`` bits), whatever the benchmark's: a fuller bitmap only lets more grams on to the join.
+Before the join, documents' grams are looked up in a bitmap of the benchmark's fingerprints. It has ``SLOTS`` bits, or as many more as
+keep it at most a quarter full, up to ``MOST_SLOTS`` (512 KiB); for a larger benchmark all grams go on to the join, which gives the same rows.
 
 An item of fewer than ten words is one window of that length: its hash is joined with those of
 all stretches of as many words. There are at most nine such lengths.
 
-Defined results: a null or empty text has no words, is not hit and hits nothing; rows that repeat a doc_id with
-the same text all get that document's result; an item_id that repeats counts once, with the windows
-of all its rows; items without item_id and documents without doc_id hit and are hit by nothing. Extra columns stay out of it.
+Defined results: an empty table gives no rows, and without items nothing is hit; a null or empty text has no words, is not hit and hits
+nothing; equal rows of one doc_id all get that document's result, and different texts of one doc_id are documents of their own; an item_id that repeats counts once, with the windows
+of all its rows; items without item_id and documents without doc_id hit and are hit by nothing. Extra columns stay out of it. The arrays of a text's words and grams are held whole, some 100 bytes for each word of the longest text.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import table, with_given_ids, with_own_ids, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-K, SLOTS = 5, 1 << 17
+K, SLOTS, MOST_SLOTS = 5, 1 << 17, 1 << 22
 
 
 def words(text: Column) -> Column:
@@ -48,16 +48,18 @@ def in_bitmap(bits: list[int] | None, h: str) -> str:
     if bits is None:
         return "true"
     longs = ", ".join(f"{x}L" if x > -(1 << 63) else "shiftleft(1L, 63)" for x in bits)
-    return f"(shiftrightunsigned(get(array({longs}), cast(shiftright({h} & {SLOTS - 1}L, 6) as int)), cast({h} & 63L as int)) & 1L) = 1L"
+    return f"(shiftrightunsigned(get(array({longs}), cast(shiftright({h} & {len(bits) * 64 - 1}L, 6) as int)), cast({h} & 63L as int)) & 1L) = 1L"
 
 
 def bitmap(fps: DataFrame) -> list[int] | None:
-    """SLOTS bits as 64-bit integers, or None if over half are set. At most SLOTS slots come to the driver."""
-    slots = [r[0] for r in fps.select(F.expr(f"fp & {SLOTS - 1}L")).distinct().collect()]
-    if len(slots) > SLOTS // 2:
+    """The bits as 64-bit integers, or None if MOST_SLOTS would be too few. At most MOST_SLOTS / 4 slots come to the driver."""
+    n, slots = fps.select("fp").distinct().count(), SLOTS
+    while slots < 4 * n:
+        slots *= 2
+    if slots > MOST_SLOTS:
         return None
-    longs = [0] * (SLOTS // 64)
-    for s in slots:
+    longs = [0] * (slots // 64)
+    for (s,) in fps.select(F.expr(f"fp & {slots - 1}L")).distinct().collect():
         longs[s >> 6] |= 1 << (s & 63)
     return [x - (1 << 64) if x >> 63 else x for x in longs]
 
@@ -115,13 +117,15 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
+    docs, ids = with_own_ids(docs.select("doc_id", "text"))
     seen, spans = hits(docs, items, window)
     n_hit = spans.select("doc_id", "a", "b").distinct().select("doc_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    ids = spans.select("doc_id", F.col("item_id").cast("string").alias("i")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("item_ids"))
-    found = n_hit.join(ids, "doc_id")
+    items_hit = spans.select("doc_id", F.col("item_id").cast("string").alias("i")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("item_ids"))
+    found = n_hit.join(items_hit, "doc_id")
     none = F.expr("cast(array() as array<string>)")
     out = seen.join(found, "doc_id", "left").withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    out = out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    return with_given_ids(out, ids)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

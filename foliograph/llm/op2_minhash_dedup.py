@@ -8,24 +8,27 @@ similarity 0.85 meet in one of the 16 bands but for one case in 100,000.
 Equal sets are one class before anything else, so thousands of copies are one row. In a bucket, classes
 are not paired with each other: each is tied to the bucket's centre, the class that meets most others in all buckets,
 and candidates are confirmed on the full sets. That joins a group of near copies to its origin. What is still in
-several components of a bucket is compared in blocks of about 48 classes: a row holds two blocks, their sets are
-intersected as matrices, and links that suffice for their components come out. So every two classes of a
-bucket that aren't in one component are compared on their full sets, and none is left out.
-
-Defined results: null or empty texts, and texts of separators only, have empty sets and are linked with
-nothing; fewer words than a shingle are one shingle; rows that repeat a doc_id with the same text are one document;
-rows without doc_id link with nothing. Other columns are left alone.
+several components of a bucket is compared in blocks of about 48 classes of like size: a row holds two blocks, their sets are
+intersected as matrices, and links that suffice for their components come out. Blocks whose sizes differ too much for any link
+never meet. So every two classes of a bucket that aren't in one component and may be linked are compared on their full sets, and none is left out.
+
+Defined results: an empty table gives no rows; null or empty texts, and texts of separators only, have empty sets and are linked with
+nothing; fewer words than a shingle are one shingle; equal rows of one doc_id are one document, and different texts
+of one doc_id are documents of their own, of which more than one may be kept; rows without doc_id link with nothing. Other
+columns are not read. A text is never cut, so an executor needs some 50 bytes of memory for each byte of the longest one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import components, rows_per_batch, sized, table, written
+from .shared import components, rows_per_batch, sized, table, with_given_ids, with_own_ids, written
 
 SHINGLE, BINS, ROWS, BLOCK = 5, 64, 4, 48
 WORDS = K.byte_table(21, lower=True, zero=K.SPACES)
@@ -149,8 +152,8 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def compared(blocks: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) between different components of two blocks of a bucket, as many as join them."""
-    one = blocks.select("key", F.col("block").alias("b1"), F.col("own").alias("left"))
-    two = blocks.select("key", F.col("block").alias("b2"), F.col("own").alias("right"))
+    one = blocks.select("key", F.col("size").alias("s1"), F.col("block").alias("b1"), F.col("own").alias("left"), F.explode(F.expr("array(size, size + 1)")).alias("s2"))
+    two = blocks.select("key", F.col("size").alias("s2"), F.col("block").alias("b2"), F.col("own").alias("right"))
 
     def sets_of(texts) -> list[np.ndarray]:
         return [s for _, _, data, off in K.chunks(texts) for s in shingle_sets(data, off, shingle)]
@@ -179,7 +182,7 @@ def compared(blocks: DataFrame, percent: int, shingle: int) -> DataFrame:
                         b.append(int(ids2[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return one.join(two, "key").where("b1 <= b2").select("left", "right").mapInArrow(run, "a long, b long")
+    return one.join(two, ["key", "s2"]).where("s1 < s2 or b1 <= b2").select("left", "right").mapInArrow(run, "a long, b long")
 
 
 def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame | None:
@@ -201,10 +204,12 @@ def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int)
     with rows_per_batch(docs.sparkSession, 1024):
         found = written(confirmed(pairs, texts, percent, shingle), "links")
     comp = components(found)
-    rest = star.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    rest = star.select("key", "rep", "n").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     still = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
-    rest = rest.join(still, "key").withColumn("block", F.expr(f"pmod(xxhash64(rep), cast(ceil(m / {BLOCK}) as int))"))
-    blocks = rest.join(texts, "rep").groupBy("key", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("own"))
+    # Sets in one of these classes of size, or in neighbouring ones, may be linked; others can't be.
+    size = F.expr(f"cast(floor(ln(n) / {math.log(100 / percent) * (1 + 1e-9)!r}) as int)") if percent < 100 else F.col("n").cast("int")
+    rest = rest.join(still, "key").withColumn("size", size).withColumn("block", F.expr(f"pmod(xxhash64(rep), cast(ceil(m / {BLOCK}) as int))"))
+    blocks = rest.join(texts, "rep").groupBy("key", "size", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("own"))
     blocks = written(blocks, "blocks")
     with rows_per_batch(docs.sparkSession, 16):
         more = written(compared(blocks, percent, shingle), "links")
@@ -213,6 +218,7 @@ def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int)
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """docs' doc_id with n_shingles, component_id and kept."""
+    docs, own = with_own_ids(docs.select("doc_id", "text"))
     sk = written(sketches(docs, shingle), "sketches")
     classes = sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     classes = written(classes.select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "classes")
@@ -224,7 +230,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
         ids = ids.withColumnRenamed("rep", "c")
     out = sk.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2"], "left")
     c = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = with_given_ids(out, own, "component_id")
+    return out if own is None else out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:

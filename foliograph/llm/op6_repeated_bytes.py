@@ -2,8 +2,9 @@
 
 Texts are taken as UTF-8 bytes; strings never cross documents. See ``repeats`` for the search, which is exact.
 
-Defined results: a null or empty text has no bytes; rows without doc_id take no part; rows that repeat a doc_id repeat
-each other. Other columns are left alone.
+Defined results: an empty table gives no rows; a null or empty text has no bytes; rows without doc_id take no part and keep all; rows
+that repeat a doc_id are documents of their own, so equal ones repeat each other, and different ones don't share what is removed; other columns
+are not read. A text is never cut, so an executor needs some 40 bytes of memory for each byte of the longest one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .repeats import Spec, covered, fingerprints, repeated, with_lists
-from .shared import table, written
+from .shared import table, with_own_ids, written
 
 BYTES = K.mix(K.byte_table(61).copy())
 
@@ -37,7 +38,9 @@ def find(docs: DataFrame, width: int = 400) -> DataFrame:
 
 def removed(docs: DataFrame, width: int = 400) -> DataFrame:
     """rows (doc_id, n_bytes, n_removed, n_spans, kept): kept is binary."""
-    joined = with_lists(docs.select("doc_id", "text"), find(docs, width), "spans")
+    kind = dict(docs.dtypes)["doc_id"]
+    docs, _ = with_own_ids(docs.select("doc_id", "text", F.col("doc_id").alias("given")))
+    joined = with_lists(docs, find(docs, width), "spans").select("given", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -54,7 +57,7 @@ def removed(docs: DataFrame, width: int = 400) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v, k) for v, k in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op6_repeated_bytes(spark, sf_dir: str) -> DataFrame:

@@ -163,6 +163,19 @@ def narrowed(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
     return far.where("s <= e").select("doc_id", F.expr(f"shiftleft(s, {WIDE}) + (e - s) as at"))
 
 
+#: A class of over this part of all records is hot; there are fewer than HOT of them, so they may be broadcast.
+HOT = 4000
+
+
+def with_classes(seen: DataFrame, classes: DataFrame, records: int) -> DataFrame:
+    """seen (fp, r, ...) joined with classes (fp, r, n, ...): hot classes by broadcast, so that none of their rows is shuffled."""
+    hot = F.broadcast(classes.where(F.col("n") * HOT > records))
+    cold = classes.where(F.col("n") * HOT <= records)
+    marks = hot.select("fp", "r", F.lit(True).alias("hot_"))
+    rest = seen.join(marks, ["fp", "r"], "left").where("hot_ is null").drop("hot_")
+    return seen.join(hot, ["fp", "r"]).unionByName(rest.join(cold, ["fp", "r"]))
+
+
 def repeated(docs: DataFrame, spec: Spec, matched: DataFrame, later: bool) -> DataFrame:
     """Window starts to remove: rows (doc_id, spans: array of [a, b], first and last start of a run).
 
@@ -177,8 +190,7 @@ def repeated(docs: DataFrame, spec: Spec, matched: DataFrame, later: bool) -> Da
     edges = classes.join(mixed, "fp").select("f.*")
     if spec.stride:
         edges = narrowed(docs, edges, spec)
-    twice = classes.where("n > 1").select("fp", "r", *(["f"] if later else []))
-    whole = seen.join(twice, ["fp", "r"])
+    whole = with_classes(seen, classes.where("n > 1"), seen.count())
     if later:  # a class's first record stays: as a null, which no list takes up
         whole = whole.withColumn("at", F.when(F.expr("doc_id <> f.doc_id or at <> f.at"), F.col("at")))
     single = written(windows(docs, edges, spec), "windows")
@@ -214,5 +226,5 @@ def covered(n: int, spans: np.ndarray, width: int) -> np.ndarray:
 
 def with_lists(docs: DataFrame, lists: DataFrame, column: str, how: str = "left") -> DataFrame:
     """docs with their lists of longs; the texts move only where the lists are too many to broadcast."""
-    size = lists.agg(F.count("*").alias("n"), F.sum(F.size(column)).alias("k")).first()
-    return docs.join(sized(lists, 1, 96 * size["n"] + 8 * (size["k"] or 0)), "doc_id", how)
+    size = lists.agg(F.count("*").alias("n"), F.sum(F.size(F.col(column))).alias("k")).first()
+    return docs.join(sized(lists, 1, 96 * size["n"] + 8 * (size["k"] or 0)), "doc_id", how).select(*docs.columns, column)

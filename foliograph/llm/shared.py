@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,20 +24,88 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session, which has one machine, gets a temporary folder; on a cluster it is an error.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="foliograph-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
     return _OWN[0]
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables written meanwhile, for ``dropped`` once nothing reads them any more."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        _MADE.pop()
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, by the file system that holds them."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+def free(taken: list[str], name: str) -> str:
+    """name, or name with as many underscores as make it unlike the names taken."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def with_own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(docs, rows (doc_id, given) or None): a doc_id of its own for each different text, in the order of the ids given.
+
+    Where no doc_id repeats, docs as they are, and None. Else ids are dealt anew, ascending by (doc_id, hash of the text), and
+    equal rows share one; a null doc_id stays null.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, None
+    text, given = F.xxhash64("text"), free(docs.columns, "given")
+    h = free([*docs.columns, given], "text_hash")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias(given), text.alias(h)).distinct()
+    ids = written(ids.repartitionByRange(given, h).sortWithinPartitions(given, h).withColumn("own", F.monotonically_increasing_id()), "ids")
+    own = free([*docs.columns, given, h], "own")
+    keyed = docs.withColumnRenamed("doc_id", given).withColumn(h, text)
+    out = keyed.join(ids.withColumnRenamed("own", own), [given, h], "left")
+    kept = [F.col(own).alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*kept), ids.select(F.col("own").alias("doc_id"), F.col(given).alias("given"))
+
+
+def with_given_ids(out: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    """out with the given ids again in doc_id and other columns of ids."""
+    for c in ("doc_id", *columns) if ids is not None else ():
+        names = out.columns
+        back = ids.select(F.col("doc_id").alias("own_"), F.col("given").alias("given_"))
+        out = out.join(back, F.col(c) == F.col("own_"), "left").select(*[F.col("given_").alias(n) if n == c else F.col(f"`{n}`") for n in names])
+    return out
+
+
 def written(df: DataFrame, what: str = "step") -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder, which outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
