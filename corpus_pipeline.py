@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept, written and read again, and all but the last return the
 columns of documents.
+
+Defined results: an empty table goes through as such; a null or empty text is scored as one empty line, is near nothing, holds no passage and no
+benchmark words, and is placed like any other; equal rows of one doc_id are copies of each other, and different texts of one doc_id documents of
+their own; further columns of documents stay as they are, whatever their names, but for block, slot, place and position, which the last
+stage sets. A text is never cut: the longest one must fit an executor's memory some 100 times.
 """
 
 from __future__ import annotations
@@ -14,22 +19,38 @@ from foliograph.llm import op2_minhash_dedup as op2
 from foliograph.llm import op3_mixing as op3
 from foliograph.llm import op4_quality_crf as op4
 from foliograph.llm import op7_substring_dedup as op7
-from foliograph.llm.shared import sized, table, written
+from foliograph.llm.shared import dropped, free, sized, table, tables_made, with_given_ids, with_own_ids, written
 
 #: A document of less than this score of quality goes.
 GOOD = 0.3
 
 
+#: Near copies are alike by at least this many per cent of their shingles of five words.
+ALIKE = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op4.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return op4.quality(docs, model).where(F.col("score") >= GOOD).drop("score")
+    score = free(docs.columns, "score")
+    return op4.quality(docs, model, score).where(F.col(score) >= GOOD).select(*named(docs))
+
+
+def named(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is gone."""
+    return docs.join(sized(written(gone.select("doc_id"), "gone"), 32), "doc_id", "left_anti").select(*named(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group stays."""
-    found = op2.near_duplicates(docs.select("doc_id", "text"))
-    gone = written(found.where("not kept").select("doc_id"), "gone")
-    return docs.join(sized(gone, 32), "doc_id", "left_anti").select(*docs.columns)
+    own, ids = with_own_ids(docs)
+    out = without(own, op2.near_duplicates(own.select("doc_id", "text"), ALIKE).where("not kept"))
+    if ids is not None:  # of equal rows one stays, and those without doc_id
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    return with_given_ids(out, ids)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +58,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A text of which nothing is removed stays as it is; of another, the kept words are joined by spaces.
     """
-    out = op7.dedup(docs)
-    changed = F.col("n_removed") > 0
-    out = out.where(~changed | (F.col("n_removed") < F.col("n_words")))
-    out = out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_words, n_removed, kept = into = tuple(free(docs.columns, c) for c in ("n_words", "n_removed", "kept"))
+    out = op7.dedup(docs, into=into)
+    changed = F.col(n_removed) > 0
+    out = out.where(~changed | (F.col(n_removed) < F.col(n_words)))
+    out = out.withColumn("text", F.when(changed, F.col(kept)).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*named(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    found = op1.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    gone = written(found.where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(sized(gone, 32), "doc_id", "left_anti").select(*docs.columns)
+    own, ids = with_own_ids(docs)
+    found = op1.contamination(own.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return with_given_ids(without(own, found.where("contaminated").distinct()), ids)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with tables_made() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(spark, [*before, *made[:-1]])  # what the stage has written on its way, and what it has read
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
