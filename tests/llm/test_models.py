@@ -1,9 +1,14 @@
 """Trained operators, mixing and chat formatting."""
 
+import itertools
 import json
+import math
+import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from foliograph.llm import labelled
@@ -44,12 +49,155 @@ def test_held_out_accuracy(spark, label, least):
 def test_scores_of_odd_rows(spark, pairs):
     docs = some_docs(spark)
     labels = spark.createDataFrame([(i, y, y) for i, y in pairs], "doc_id long, quality int, toxic int")
-    for out in (op4.quality(docs.drop("score"), op4.train(docs, labels)), op10.toxicity(docs, op10.train(docs, labels))):
+    for out in (op4.quality(docs, op4.train(docs, labels)), op10.toxicity(docs, op10.train(docs, labels))):
         scores = [r["score"] for r in out.collect()]
         assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
     assert op4.slim(docs.limit(0), op4.train(docs, labels)).count() == 0
 
 
+def random_model(rng):
+    return op4.Model(rng.normal(0, 0.7, (3, op4.N, op4.BINS)), 0.3, rng.normal(0, 1, 2), (1.0, 0.0))
+
+
+def weight_of(m, bins, labels):
+    """The log-weight of a labelling of one chain, feature by feature."""
+    total, n = 0.0, len(labels)
+    for i in range(n):
+        if labels[i]:
+            total += m.bias
+            for f in range(op4.N):
+                total += m.emission[1][f, bins[f, i]]
+                total += m.emission[0][f, bins[f, i - 1]] if i else 0
+                total += m.emission[2][f, bins[f, i + 1]] if i + 1 < n else 0
+        if i and labels[i] == labels[i - 1]:
+            total += m.stay[0 if labels[i] else 1]
+    return total
+
+
+def test_marginals_of_all_labellings():
+    rng = np.random.default_rng(1)
+    m, first = random_model(rng), np.array([0, 8, 9, 14])
+    bins, size = rng.integers(0, op4.BINS, (op4.N, 14)), rng.integers(1, 50, 14)
+    got = op4.good_share(m, bins, size, first)
+    for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        every = list(itertools.product((0, 1), repeat=int(b - a)))
+        w = np.exp([weight_of(m, bins[:, a:b], y) for y in every])
+        marginal = (np.array(every) * w[:, None]).sum(axis=0) / w.sum()
+        assert got[k] == pytest.approx((marginal * size[a:b]).sum() / size[a:b].sum())
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    m, first = random_model(rng), np.array([0, 5, 9])
+    bins, label, weight = rng.integers(0, op4.BINS, (op4.N, 9)), rng.integers(0, 2, 9).astype(float), np.repeat([0.6, 0.9], [5, 4])
+
+    def value(theta):
+        own = op4.Model(theta[:-3].reshape(3, op4.N, op4.BINS), theta[-3], theta[-2:], (1.0, 0.0))
+        out = 0.0
+        for a, b in zip(first[:-1], first[1:]):
+            every = [weight_of(own, bins[:, a:b], y) for y in itertools.product((0, 1), repeat=int(b - a))]
+            out += weight[a] * (weight_of(own, bins[:, a:b], label[a:b].astype(int)) - np.logaddexp.reduce(every))
+        return out
+
+    theta = np.concatenate([m.emission.ravel(), [m.bias], m.stay])
+    got = op4.gradient(m, bins, first, label, weight)
+    used = [int(s * op4.N * op4.BINS + f * op4.BINS + bins[f, i]) for s in range(3) for f in (0, 5, 12) for i in (0, 4, 6)]
+    for at in [*used, len(theta) - 3, len(theta) - 2, len(theta) - 1]:
+        step = np.zeros(len(theta))
+        step[at] = 1e-5
+        assert got[at] == pytest.approx((value(theta + step) - value(theta - step)) / 2e-5, abs=1e-6)
+
+
+def plain_features(text):
+    """Words, their first seven bytes, neighbours and pairs with one word between, as tuples."""
+    w, cur = [], b""
+    for c in (text or "").encode():
+        if chr(c).isalnum() and c < 128 or c >= 128:
+            cur += bytes([c + 32 if 65 <= c <= 90 else c])
+        elif cur:
+            w, cur = [*w, cur], b""
+    w += [cur] if cur else []
+    return {("w", x) for x in w} | {("s", x[:7]) for x in w} | {(1, a, b) for a, b in zip(w, w[1:])} | {(2, a, b) for a, b in zip(w, w[2:])}
+
+
+def test_features_by_a_plain_list():
+    texts = ["", "One two, THREE two", "one two three two", "abcdefgh abcdefgi", "été_x 12", "a b c d e f g", "x"]
+    import pyarrow as pa
+
+    data, off = op10.K.buffers(pa.array(texts))
+    text, coord = op10.features(data, off, 40)
+    own = [set(coord[text == i].tolist()) for i in range(len(texts))]
+    plain = [plain_features(t) for t in texts]
+    assert [len(x) for x in own] == [len(x) for x in plain]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(own[i] & own[j]) == len(plain[i] & plain[j])
+
+
+def test_ftrl_step_by_step():
+    rng, bits = random.Random(4), 6
+    rows = [np.array(sorted(rng.sample(range(64), rng.randint(0, 9))), np.int64) for _ in range(300)]
+    y = np.array([float(3 in r or rng.random() < 0.1) for r in rows])
+    alpha, beta, l1, l2 = 0.7, 1.0, 2.0, 1.5
+    got = op10.fit(rows, y, bits, 3, alpha, beta, l1, l2)
+    z, n, up = Counter(), Counter(), min(4.0, (1 - y.mean()) / y.mean())
+
+    def w(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for own, label in zip(rows, y):
+            at = [*own.tolist(), "bias"]
+            had = {i: w(i) for i in at}
+            g = (1 / (1 + math.exp(-sum(had.values()))) - label) * (up if label else 1)
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * had[i]
+                n[i] += g * g
+    want = {i: w(i) for i in range(64) if w(i)}
+    assert dict(zip(got.at.tolist(), got.w.tolist())) == pytest.approx(want)
+    assert got.bias == pytest.approx(w("bias")) and 0 < len(want) < 64
+
+
+def plain_schedule(blocks, weights):
+    """Slot by slot: of the blocks released, the one with the earliest deadline; a source that is due and has none left ends a phase."""
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        exact = {s: Fraction(weights[s]) for s in left if weights[s]} or {s: Fraction(1) for s in left}
+        total, done, t = sum(exact.values()), dict.fromkeys(exact, 0), 0
+        while True:
+            ready = [(math.ceil((done[s] + 1) * total / w), str(s), s) for s, w in exact.items() if math.floor(done[s] * total / w) <= t]
+            due, _, s = min(ready, key=lambda x: x[:2])
+            assert due > t
+            if done[s] == left[s]:
+                break
+            done[s] += 1
+            out.append(s)
+            t += 1
+        left = {s: n - done.get(s, 0) for s, n in left.items() if n > done.get(s, 0)}
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "d": 0.0}, {"a": 0.01, "b": 0.97, "c": 0.01, "d": 0.01}])
+def test_phases_slot_by_slot(weights):
+    blocks = {"a": 130, "b": 40, "c": 7, "d": 21}
+    plan = op3.schedule(blocks, weights)
+    got = {t: s for s, p in plan.items() for t in op3.slots_of(p, blocks[s]).tolist()}
+    assert [got[t] for t in range(len(got))] == plain_schedule(blocks, weights)
+
+
+def test_mixing_and_scores_of_clashing_columns(spark):
+    names = ["phases", "block", "slot", "place", "position", "row", "h", "bucket", "rank", "s", "b", "s_", "run_", "slots_", "before", "at", "score"]
+    docs = spark.createDataFrame([(i, "x y z " * i, "ab"[i % 2], *["own"] * len(names)) for i in range(30)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = op3.mixed(docs, block=4)
+    assert sorted(out.columns) == sorted(docs.columns)
+    rows = out.collect()
+    assert {r["phases"] + r["rank"] + r["at"] for r in rows} == {"ownownown"} and sorted(r["position"] for r in rows)[:2] == [0, 1]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    scored = op4.quality(docs, op4.train(docs, labels))
+    assert sorted(scored.columns) == sorted(docs.columns) and dict(scored.dtypes)["score"] == "double" and scored.count() == 30
+
+
 def simulated(blocks, weights, frame):
     """Slot by slot: the source of each slot, phases as in schedule()."""
     left, out = {s: n for s, n in blocks.items() if n}, []
@@ -149,6 +297,49 @@ def test_typed_parts(spark):
     assert r["tokens"] == 4 + 3 + 512 + len("look <|x|>") + 1 + len("end") + len("[not parts]")
 
 
+ODD = ['[{"type": "text", "text": 5}]', '[{"type": "image", "width": "wide"}]', '[{"type": "image", "width": 1e300}]', '[{"type": "audio", "seconds": -1}]', '[{"type": "audio", "ref": {}}]', '[{"type": ["text"]}]', '[1, 2]', "[", "[]", '[{"type": "document", "pages": true}]', "[" * 5000]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "long", "decimal(5,0)", "double"])
+def test_malformed_parts_are_texts(spark, kind):
+    df = spark.createDataFrame([(c, 0, "user", t) for c, t in enumerate(ODD)] + [(99, 0, "user", "x" * 3_000_000)], "conv_id int, turn long, role string, text string")
+    got = {int(r["conv_id"]): r for r in op8.formatted(df.withColumn("conv_id", df["conv_id"].cast(kind))).collect()}
+    assert [op8.read_back(got[c]["formatted"]) for c in range(len(ODD))] == [[("user", t)] for t in ODD]
+    assert len(got[99]["formatted"]) > 3_000_000
+
+
+#: Statements that are in no template, and their families; sentences that name no licence.
+UNSEEN = [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+    ("Distributed under the terms of the MIT license.", ""),
+    ("Licensed to you under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law", "Apache-2.0"),
+    ("The library is released under the 3-clause BSD license, like its parent project.", "BSD"),
+    ("You can redistribute this file and/or modify it under the terms of the\nGNU General Public License as published by the Free Software Foundation;\neither version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+    ("Text of this page is available under a Creative Commons Attribution 4.0 International License unless noted.", "CC-BY"),
+    ("// SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("Copyright (c) 2019 The Authors. All rights reserved.", "proprietary"),
+    ("The council issued a licence for the market in the public square.", ""),
+    ("General permission to enter the building is not granted to the public.", ""),
+    ("Der Kurs beginnt mit einer Pause und endet mit einem Test.", ""),
+    ("The version of the software that we used is free of known errors.", ""),
+]
+
+
+def test_licences_of_texts_that_are_no_templates(spark):
+    docs = spark.createDataFrame([(i, "Some words first.\n\n" + t + "\n\nAnd more words after it.") for i, (t, _) in enumerate(UNSEEN)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in op9.licences(docs).collect()}
+    right = [got[i] == f for i, (_, f) in enumerate(UNSEEN)]
+    assert sum(right) >= 11, [(t, got[i]) for i, (t, f) in enumerate(UNSEEN) if got[i] != f]
+
+
+def test_every_paragraph_of_a_template_has_an_anchor():
+    rng, rare = random.Random(9), set(op9.anchors())
+    for t in (t for ts in op9.TEMPLATES.values() for t in ts):
+        own = sorted(set(op9.words_of(t)))
+        for _ in range(300):
+            assert rare & set(rng.sample(own, math.ceil(op9.HOLDS * len(own) - 1e-9)))
+
+
 def test_licences(spark):
     lines = {1: "Licensed under the Apache License, Version 2.0.", 2: "a\nReleased under the MIT License.\nb", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "Licensed under CC BY-NC 4.0.", 5: "her licence to drive was taken", 6: None, 7: "", 8: "All rights reserved.", 9: "nothing here", 10: "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."}
     docs = spark.createDataFrame([(i, t, "x") for i, t in lines.items()] + [(2, lines[2], "x"), (None, lines[1], "x")], "doc_id long, text string, family string")

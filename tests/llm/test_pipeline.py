@@ -40,7 +40,7 @@ def test_quality_keeps_good_documents(spark, steps):
 
 def test_one_of_each_group_stays(steps):
     rows = rows_of(steps[1])
-    assert rows_of(steps[2]) == [(i, t) for i, t in rows if expected_op2(rows)[i][2]]
+    assert rows_of(steps[2]) == [(i, t) for i, t in rows if expected_op2(rows, 80)[i][2]]
 
 
 def test_passages_go(steps):
