@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .geometry import least_labels
+
 
 def components(cells: DataFrame) -> DataFrame:
     """Cells that touch, also at a corner: cells with comp, the least row * 100000 + col of the component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, comp = set(zip(pdf["row"], pdf["col"])), {}
-        for start in sorted(left):
-            if start not in left:
-                continue
-            left.discard(start)
-            queue = deque([start])
-            while queue:
-                r, c = queue.popleft()
-                comp[r, c] = start[0] * 100000 + start[1]
-                for n in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                    if n in left:
-                        left.discard(n)
-                        queue.append(n)
-        return pdf.assign(comp=[comp[k] for k in zip(pdf["row"], pdf["col"])])
+        key = pdf["row"].to_numpy(np.int64) * 100000 + pdf["col"].to_numpy(np.int64)
+        have, own = np.unique(key, return_inverse=True)
+        links = []
+        for step in (1, 99999, 100000, 100001):  # to the right, and the three below
+            at = np.minimum(np.searchsorted(have, have + step), len(have) - 1)
+            links.append(np.stack([np.flatnonzero(have[at] == have + step), at[have[at] == have + step]]))
+        a, b = np.concatenate(links, axis=1)
+        return pdf.assign(comp=have[least_labels(len(have), a, b)][own])
 
     return cells.groupBy("sheet").applyInPandas(run, ", ".join(f"{n} {t}" for n, t in cells.dtypes) + ", comp long")
 
@@ -91,8 +86,35 @@ def parsed_range(text: Column) -> Column:
     return F.struct(at(1).alias("r0"), at(2).alias("c0"), F.coalesce(at(3), at(1)).alias("r1"), F.coalesce(at(4), at(2)).alias("c1"))
 
 
+#: Cells and ranges meet in bands of so many rows.
+BAND = 256
+
+
 def in_ranges(cells: DataFrame, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
     """Cells in some range of their sheet (or in none, with left_anti)."""
-    r = ranges.select("sheet", "r0", "c0", "r1", "c1").alias("r")
+    band = F.explode(F.sequence(F.floor(F.col("r0") / BAND), F.floor(F.col("r1") / BAND)))
+    r = ranges.select("sheet", "r0", "c0", "r1", "c1", band.alias("band")).alias("r")
     c = cells.alias("c")
-    return c.join(r, (F.col("c.sheet") == F.col("r.sheet")) & F.col("c.row").between(F.col("r.r0"), F.col("r.r1")) & F.col("c.col").between(F.col("r.c0"), F.col("r.c1")), how)
+    same = (F.col("c.sheet") == F.col("r.sheet")) & (F.floor(F.col("c.row") / BAND) == F.col("r.band"))
+    return c.join(r, same & F.col("c.row").between(F.col("r.r0"), F.col("r.r1")) & F.col("c.col").between(F.col("r.c0"), F.col("r.c1")), how)
+
+
+def overlapping(a: str, b: str) -> Column:
+    """Two ranges (r0, c0, r1, c1) that share a cell."""
+    c = lambda n, f: F.col(f"{n}.{f}")
+    return (c(a, "r0") <= c(b, "r1")) & (c(b, "r0") <= c(a, "r1")) & (c(a, "c0") <= c(b, "c1")) & (c(b, "c0") <= c(a, "c1"))
+
+
+def holding(outer: str, inner: str) -> Column:
+    """A range that holds another one whole."""
+    c = lambda n, f: F.col(f"{n}.{f}")
+    return (c(outer, "r0") <= c(inner, "r0")) & (c(outer, "c0") <= c(inner, "c0")) & (c(outer, "r1") >= c(inner, "r1")) & (c(outer, "c1") >= c(inner, "c1"))
+
+
+def with_anchors(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """cells with the row and column of the top left cell of the merged range (sheet, r0, c0, r1, c1) that they lie in, or their own."""
+    band = F.explode(F.sequence(F.floor(F.col("r0") / BAND), F.floor(F.col("r1") / BAND)))
+    m = merges.select(F.col("sheet").alias("s_"), "r0", "c0", "r1", "c1", band.alias("band_"))
+    near = (F.col("sheet") == F.col("s_")) & (F.floor(F.col("row") / BAND) == F.col("band_")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    out = cells.join(m, near, "left")
+    return out.select(*cells.columns, F.coalesce("r0", "row").alias("anchor_row"), F.coalesce("c0", "col").alias("anchor_col"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -67,15 +69,23 @@ def centre_in(inner: str, outer: str, tolerance: int = 0) -> Column:
     return one("x_min", "x_max") & one("y_min", "y_max")
 
 
+def cell_of(x: Column, y: Column, cell: int = CELL) -> Column:
+    """The grid cell of a point."""
+    return F.floor(x / cell) * 4096 + F.floor(y / cell)
+
+
 def absorbed(regions: DataFrame, boxes: DataFrame, tolerance: int = 2) -> DataFrame:
-    """rows (page, region, id) of boxes whose centre is in a region (page, region, rb)."""
-    return regions.join(boxes, "page").where(centre_in("bbox", "rb", tolerance)).select("page", "region", "id")
+    """rows (page, region, id) of boxes whose centre is in a region (page, region, rb); they meet in the centre's grid cell."""
+    at = cell_of(F.expr("(bbox.x_min + bbox.x_max) / 2"), F.expr("(bbox.y_min + bbox.y_max) / 2"))
+    near = regions.withColumn("cell", F.explode(cells("rb", tolerance))).join(boxes.withColumn("cell", at), ["page", "cell"])
+    return near.where(centre_in("bbox", "rb", tolerance)).select("page", "region", "id")
 
 
 def smallest_at(points: DataFrame, boxes: DataFrame, tolerance: int = 3) -> DataFrame:
     """rows (page, point, id): of the boxes that hold a point (page, point, x, y), the one of least area, the first of equals by ord."""
     inside = F.col("x").between(F.col("bbox.x_min") - tolerance, F.col("bbox.x_max") + tolerance) & F.col("y").between(F.col("bbox.y_min") - tolerance, F.col("bbox.y_max") + tolerance)
-    return points.join(boxes, "page").where(inside).groupBy("page", "point").agg(F.min_by("id", F.struct(area("bbox"), F.col("ord"))).alias("id"))
+    near = points.withColumn("cell", cell_of(F.col("x"), F.col("y"))).join(boxes.withColumn("cell", F.explode(cells("bbox", tolerance))), ["page", "cell"])
+    return near.where(inside).groupBy("page", "point").agg(F.min_by("id", F.struct(area("bbox"), F.col("ord"))).alias("id"))
 
 
 def same_line(a: str, b: str, height: int, overlap: float = 0.5) -> Column:
@@ -85,27 +95,39 @@ def same_line(a: str, b: str, height: int, overlap: float = 0.5) -> Column:
     return (h(a) <= height) & (h(b) <= height) & (both >= overlap * F.least(h(a), h(b))) & (both > 0)
 
 
-def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rows (page, id, cluster): cluster is the least id that pairs (page, a, b) lead to. A page's graph fits its task."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        root = {i: i for i in left["id"]}
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n things the least that links a-b lead to: labels are hooked to lesser ones and shortened until nothing moves."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(root, nxt := root[root]):
+            root = nxt
+        left = root[a] != root[b]
+        a, b = a[left], b[left]
+    return root
 
-        for a, b in zip(right["a"], right["b"]):
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"page": left["page"], "id": left["id"], "cluster": [find(i) for i in left["id"]]})
 
+def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (page, id, cluster): cluster is the least id that pairs (page, a, b) lead to. A page's graph fits its task; a batch of pages is one array."""
     types = dict(ids.dtypes)
-    left = ids.select("page", "id").distinct()
-    right = pairs.select(F.col("page").alias("p_"), "a", "b")  # of the same table, so its columns need names of their own
-    return left.groupBy("page").cogroup(right.groupBy("p_")).applyInPandas(run, f"page {types['page']}, id {types['id']}, cluster {types['id']}")
+    left = ids.groupBy("page").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    right = pairs.groupBy(F.col("page").alias("p_")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    none = F.expr(f"cast(array() as array<{types['id']}>)")
+    both = left.join(right, F.col("page").eqNullSafe(F.col("p_")), "left").select("page", "ids", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [np.append(0, np.cumsum(batch.column(i).value_lengths().to_numpy(zero_copy_only=False))) for i in (1, 2)]
+            ids, a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            at = [np.concatenate([lo + np.searchsorted(ids[lo:hi], x[p:q]) for lo, hi, p, q in zip(cut[0], cut[0][1:], cut[1], cut[1][1:])] or [np.zeros(0, int)]).astype(np.int64) for x in (a, b)]
+            label = least_labels(len(ids), *at)
+            page = np.repeat(np.arange(len(batch)), np.diff(cut[0]))
+            flat = batch.column(1).flatten()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page)), flat, flat.take(pa.array(label))], ["page", "id", "cluster"])
+
+    return both.mapInArrow(run, f"page {types['page']}, id {types['id']}, cluster {types['id']}")
 
 
 def line_clusters(boxes: DataFrame, height: int = 40) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
 from ..schema import CONTAINERS, EDGE_TYPES, NODE_TYPES
 
 # Prefixes of captions, and the pattern of a label.
@@ -88,11 +89,35 @@ def reference_edges(nodes: DataFrame, captions: DataFrame) -> DataFrame:
 
 def finalize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges with the captions and references that aren't there yet; doing it twice adds nothing."""
-    captions = caption_edges(nodes)
+    captions = cut(caption_edges(nodes))  # read three times below
     new = captions.select("doc", "type", "source", "target").unionByName(reference_edges(nodes, captions))
     return edges.unionByName(new.join(edges, ["doc", "type", "source", "target"], "left_anti"), allowMissingColumns=True)
 
 
+def with_native_location(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Content nodes with native_artifact and native_page, which later reparenting leaves as they are; those that have them keep them."""
+    have = [c for c in ("native_artifact", "native_page") if c in nodes.columns]
+    page = F.col("page") if "page" in nodes.columns else F.lit(None).cast("int")
+    at = artifact_map(nodes, edges).withColumnRenamed("artifact", "found_")
+    out = nodes.join(at, ["doc", "id"], "left")
+    content = ~F.col("type").isin(*CONTAINERS)
+    old = lambda c: F.col(c) if c in have else F.lit(None)
+    return out.select(*[c for c in nodes.columns if c not in have], F.when(content, F.coalesce(old("native_artifact"), "found_")).alias("native_artifact"), F.when(content, F.coalesce(old("native_page"), page)).alias("native_page"))
+
+
+def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the ids (doc, id) that are there."""
+    return nodes.join(ids.select("doc", "id").distinct(), ["doc", "id"], "left_semi")
+
+
+def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every broken invariant as a row (doc, kind, id, n); none means a sound graph."""
+    out = dangling(nodes, edges).select("doc", F.lit("dangling edge").alias("kind"), F.col("end").alias("id"), F.lit(None).cast("long").alias("n"))
+    out = out.unionByName(fan_in(edges).select("doc", F.lit("fan-in").alias("kind"), F.col("target").alias("id"), "n"))
+    out = out.unionByName(on_cycles(edges).select("doc", F.lit("cycle").alias("kind"), "id", F.lit(None).cast("long").alias("n")))
+    return out.unionByName(next_degree(edges).select("doc", F.concat(F.lit("NEXT "), "side").alias("kind"), "id", "n"))
+
+
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both documents' rows; identity is (doc, id), so equal file names don't collide."""
     return a.unionByName(b, allowMissingColumns=True)
@@ -118,33 +143,46 @@ def next_degree(edges: DataFrame) -> DataFrame:
     return out
 
 
-def on_cycles(edges: DataFrame, kind: str = "PARENT_OF", doublings: int = 24) -> DataFrame:
-    """Nodes from which a walk along edges of a kind never ends where each node has one edge at most into it.
+def on_cycles(edges: DataFrame, kind: str = "PARENT_OF") -> DataFrame:
+    """Nodes on a cycle of edges of a kind, or below one, whatever their fan-in: rows (doc, id).
 
-    Pointer doubling over parents: after k rounds a node points 2**k steps up; who still points
-    somewhere after all rounds is on, or under, a cycle. rows (doc, id).
+    After k doublings a row (id, to) says that a walk of 2**k edges leads up from id to to. Where there are no cycles the rows run
+    out once 2**k is the depth; walks as long as a document has edges only exist from a cycle.
     """
-    up = edges.where(F.col("type") == kind).groupBy("doc", F.col("target").alias("id")).agg(F.min("source").alias("to"))
-    for i in range(doublings):
+    up = edges.where(F.col("type") == kind).select("doc", F.col("target").alias("id"), F.col("source").alias("to")).distinct()
+    most = up.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    step = 1
+    while step <= most:
         nxt = up.select("doc", F.col("id").alias("to"), F.col("to").alias("far"))
-        new = up.join(nxt, ["doc", "to"]).select("doc", "id", F.col("far").alias("to"))
-        if i % 4 == 3:
-            new = new.checkpoint()
-            if new.isEmpty():
-                break
-        up = new
-    return up.select("doc", "id")
-
-
-def artifact_map(nodes: DataFrame, edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """rows (doc, id, artifact): the nearest artifact above a node along PARENT_OF, by pointer doubling."""
-    up = edges.where("type = 'PARENT_OF'").groupBy("doc", F.col("target").alias("id")).agg(F.min_by("source", "source").alias("to"))
-    tops = nodes.where("type = 'Artifact'").select("doc", F.col("id").alias("to"), F.lit(True).alias("top"))
-    up = up.join(tops, ["doc", "to"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
-    for _ in range(rounds):
+        up = cut(up.join(nxt, ["doc", "to"]).select("doc", "id", F.col("far").alias("to")).distinct())
+        step *= 2
+        if up.isEmpty():
+            break
+    return up.select("doc", "id").distinct()
+
+
+def artifact_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc, id, artifact): the nearest artifact above a node along PARENT_OF, at any depth.
+
+    Of several parents the last counts, by edge_ord where edges have it, else by id. A node's native_artifact, where nodes have
+    that column and it names an artifact, goes before its place in the tree. Nodes that only lead to a cycle have no row.
+    """
+    last = "edge_ord" if "edge_ord" in edges.columns else "source"
+    up = edges.where("type = 'PARENT_OF'").groupBy("doc", F.col("target").alias("id")).agg(F.max_by("source", F.struct(last, "source")).alias("to"))
+    tops = nodes.where("type = 'Artifact'").select("doc", F.col("id").alias("to")).distinct()
+    up = cut(up.join(tops.withColumn("top", F.lit(True)), ["doc", "to"], "left").select("doc", "id", "to", F.coalesce("top", F.lit(False)).alias("top")))
+    most = up.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    step = 1
+    while step <= most and not up.where("not top").isEmpty():
         nxt = up.select("doc", F.col("id").alias("to"), F.col("to").alias("far"), F.col("top").alias("far_top"))
-        up = up.join(nxt, ["doc", "to"], "left").select("doc", "id", F.when(F.col("top") | F.col("far").isNull(), F.col("to")).otherwise(F.col("far")).alias("to"), (F.col("top") | F.coalesce("far_top", F.lit(False))).alias("top"))
-    return up.where("top").select("doc", "id", F.col("to").alias("artifact"))
+        moved = up.where("not top").join(nxt, ["doc", "to"]).select("doc", "id", F.col("far").alias("to"), F.col("far_top").alias("top"))
+        up = cut(up.where("top").unionByName(moved))  # a row whose walk has ended under no artifact goes
+        step *= 2
+    out = up.where("top").select("doc", "id", F.col("to").alias("artifact"))
+    if "native_artifact" in nodes.columns:
+        own = nodes.select("doc", "id", F.col("native_artifact").alias("to")).join(tops, ["doc", "to"], "left_semi").select("doc", "id", F.col("to").alias("artifact"))
+        out = out.join(own, ["doc", "id"], "left_anti").unionByName(own)
+    return out
 
 
 def type_counts(df: DataFrame, kinds: tuple[str, ...], by: str = "doc") -> DataFrame:

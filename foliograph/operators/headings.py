@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
+
+# Patterns of section numbers, list items and heading markers.
 NUMBERED = r"^(\d+(?:\.\d+)*)\s+[A-Za-z]"
 ENUMERATED = r"^(\d+)\)(?!\s*\d)"
 FAMILIES = {"numbered": r"^(\d{1,2})[.\s]+(?!\d)\S", "circled": r"^[①-⑳]", "angled": r"^<[^<>]{1,40}>$"}
-MOST_LEVELS = 9
+#: Up to so many levels, or depths of numbers, each is a window expression; beyond, a scope is folded in one pass.
+MOST_COLUMNS = 24
 
 
 def scope() -> W:
@@ -20,32 +25,55 @@ def before() -> W:
     return scope().rowsBetween(W.unboundedPreceding, -1)
 
 
-def hierarchy(events: DataFrame, levels: int = MOST_LEVELS, owns_body: bool = True) -> DataFrame:
+def hierarchy(events: DataFrame, owns_body: bool = True) -> DataFrame:
     """events (doc, artifact, ord, id, level, excluded) with parent, structural.
 
     The parent of a heading is the last heading before it of a lesser level, that of a body node the last heading; the
     artifact where there is none. An event without id is a barrier: what would hang under it stays
-    under the artifact. Excluded events hang under the artifact and are no headings.
+    under the artifact. Excluded events hang under the artifact and are no headings. Levels are any whole numbers.
     """
-    open_ = F.when(F.col("level").isNotNull() & ~F.col("excluded"), F.struct("ord", F.col("id").alias("at")))
-    last = [F.last(F.when(F.col("level") == k, open_), True).over(before()) for k in range(levels)]
-    nearest = lambda to: F.greatest(*to) if len(to) > 1 else to[0]
-    df = events
-    for k, c in enumerate(last):
-        df = df.withColumn(f"l{k}_", c)
-    under = F.lit(None).cast("struct<ord:int,at:string>")
+    known = sorted(r[0] for r in events.where("level is not null and not excluded").select("level").distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(known) > MOST_COLUMNS:
+        return _folded(events, owns_body)
     types = dict(events.dtypes)
-    under = F.lit(None).cast(f"struct<ord:{types['ord']},at:{types['id']}>")
-    by_level = F.when(F.col("level") == 0, under)
-    for k in range(1, levels):
-        by_level = by_level.when(F.col("level") == k, nearest([F.col(f"l{j}_") for j in range(k)]))
-    body = nearest([F.col(f"l{j}_") for j in range(levels)]) if owns_body else under
-    at = F.when(F.col("excluded"), under).when(F.col("level").isNull(), body).otherwise(by_level)
+    none = F.lit(None).cast(f"struct<ord:{types['ord']},at:{types['id']}>")
+    heading = F.col("level").isNotNull() & ~F.col("excluded")
+    df = events
+    for k, level in enumerate(known):
+        df = df.withColumn(f"l{k}_", F.last(F.when(heading & (F.col("level") == level), F.struct("ord", F.col("id").alias("at"))), True).over(before()))
+    nearest = lambda n: F.greatest(*[F.col(f"l{j}_") for j in range(n)]) if n > 1 else F.col("l0_") if n else none
+    at = F.when(F.col("excluded"), none).when(F.col("level").isNull(), nearest(len(known)) if owns_body else none)
+    for k, level in enumerate(known):
+        at = at.when(F.col("level") == level, nearest(k))
     df = df.withColumn("at_", at).where("id is not null")
-    structural = ~F.col("excluded") & (F.col("level").isNotNull() | F.col("at_").isNotNull())
+    # Under a barrier nothing is proven; without any heading above, a heading is at the top of its scope.
+    structural = ~F.col("excluded") & F.when(F.col("at_").isNull(), F.col("level").isNotNull()).otherwise(F.col("at_.at").isNotNull())
     return df.select(*events.columns, F.coalesce("at_.at", F.col("artifact").cast(types["id"])).alias("parent"), structural.alias("structural"))
 
 
+def _folded(events: DataFrame, owns_body: bool) -> DataFrame:
+    """hierarchy() for scopes of very many levels: one pass over a scope's events with the open headings."""
+    types = dict(events.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        open_: list[tuple[int, str | None]] = []
+        parents, proven = [], []
+        for artifact, ident, level, excluded in pdf.sort_values("ord")[["artifact", "id", "level", "excluded"]].itertuples(index=False):
+            heading = not excluded and not pd.isna(level)
+            while heading and open_ and open_[-1][0] >= level:
+                open_.pop()
+            above = open_[-1] if open_ and not excluded and (heading or owns_body) else None
+            parents.append(artifact if above is None or above[1] is None else above[1])
+            proven.append(not excluded and (heading if above is None else above[1] is not None))
+            if heading:
+                open_.append((level, ident if isinstance(ident, str) else None))
+        out = pdf.sort_values("ord").assign(parent=parents, structural=proven)
+        return out[out["id"].notna()]
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in events.dtypes) + f", parent {types['id']}, structural boolean"
+    return events.groupBy("doc", "artifact").applyInPandas(run, schema)
+
+
 def section_number(text: Column) -> Column:
     n = F.regexp_extract(text, NUMBERED, 1)
     return F.when(n != "", n)
@@ -54,14 +82,24 @@ def section_number(text: Column) -> Column:
 def numbered_nesting(nodes: DataFrame) -> DataFrame:
     """'N.M Title' under the nearest open 'N' of its artifact: rows (doc, id, parent).
 
-    With p the number without its last part: of the headings before whose number doesn't begin with 'p.', the last is the parent if its number is p.
+    With p the number without its last part: of the headings before whose number doesn't begin with 'p.', the last is the parent if its
+    number is p. Headings that begin with one p and follow each other are a run, by their first parts, so that heading is the one
+    before the run: a lag at its start, carried on, for each depth that occurs.
     """
     heads = nodes.where("type = 'Text' and not coalesce(is_toc, false)").withColumn("number", section_number(F.col("text"))).where("number is not null")
-    past = heads.withColumn("past_", F.collect_list(F.struct("number", "id")).over(before()))
-    p = F.regexp_extract("number", r"^(.*)\.\d+$", 1)
-    past = past.withColumn("p_", p).where("p_ <> ''")
-    last = F.expr("try_element_at(filter(past_, h -> not startswith(h.number, concat(p_, '.'))), -1)")
-    return past.withColumn("last_", last).where("last_.number = p_").select("doc", "id", F.col("last_.id").alias("parent"))
+    heads = heads.withColumn("parts_", F.split("number", "[.]"))
+    deep = sorted(r[0] - 1 for r in heads.select(F.size("parts_")).distinct().collect() if r[0] > 1)
+    before_run = F.lit(None).cast(f"struct<number:string,id:{dict(nodes.dtypes)['id']}>")
+    here = scope().rowsBetween(W.unboundedPreceding, 0)
+    pick = F.when(F.lit(False), before_run)
+    for k in deep:
+        heads = heads.withColumn("key_", F.when(F.size("parts_") > k, F.array_join(F.slice("parts_", 1, k), ".")))
+        same = F.lag("key_").over(scope()).eqNullSafe(F.col("key_")) & (F.row_number().over(scope()) > 1)
+        prior = F.struct(F.lag("number").over(scope()).alias("number"), F.lag("id").over(scope()).alias("id"))
+        heads = heads.withColumn("start_", F.when(~same, prior)).withColumn(f"b{k}_", F.last("start_", True).over(here))
+        pick = pick.when(F.size("parts_") == k + 1, F.col(f"b{k}_"))
+    p = F.array_join(F.expr("slice(parts_, 1, size(parts_) - 1)"), ".")
+    return heads.withColumn("at_", pick).where((F.size("parts_") > 1) & (F.col("at_.number") == p)).select("doc", "id", F.col("at_.id").alias("parent"))
 
 
 def enumerated_runs(nodes: DataFrame) -> DataFrame:
@@ -102,12 +140,16 @@ def confirmed_heading(nodes: DataFrame, confirmed: DataFrame) -> DataFrame:
     return df.where("type = 'Text' and heading is not null").where(section_number(F.col("text")).isNull()).select("doc", "id", "heading")
 
 
-def depths(nodes: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
-    """rows (doc, id, depth) along (doc, id, parent): a root has 0. Pointer doubling; a cycle has null."""
-    here = nodes.select("doc", "id").join(parents.select("doc", "id", "parent"), ["doc", "id"], "left").select("doc", "id", F.col("parent").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+def depths(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """rows (doc, id, depth) along (doc, id, parent): a root has 0, whatever the depth. Pointer doubling; what leads to a cycle has null."""
+    up = parents.groupBy("doc", "id").agg(F.max("parent").alias("parent"))
+    here = nodes.select("doc", "id").distinct().join(up, ["doc", "id"], "left").select("doc", "id", F.col("parent").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    most = up.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     step = 1
-    while step < most:
-        up = here.select("doc", F.col("id").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"))
-        here = here.join(up, ["doc", "to"], "left").select("doc", "id", F.col("far").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    while step <= most:
+        far = here.select("doc", F.col("id").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"))
+        here = cut(here.join(far, ["doc", "to"], "left").select("doc", "id", F.col("far").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
         step *= 2
+        if here.where("to is not null").isEmpty():
+            break
     return here.select("doc", "id", F.when(F.col("to").isNull(), F.col("depth")).alias("depth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import export, graph, windows
+from ..operators import enrich, export, graph, windows
 from ..operators import geometry as geo
 from ..schema import EDGE_TYPES, NODE_TYPES
 from ..sources.adapters import adapter, prefix
@@ -120,48 +120,53 @@ def invariant_fanin(spark, sf_dir):
     return graph.fan_in(edges.unionByName(more))
 
 
-@query("""with e as (select cast(o_custkey % 10 as string) as doc, cast(o_orderkey % 400 as string) as source, cast(o_custkey % 300 as string) as target from orders where o_orderkey % 7 = 0)
+@query("""with e as (select cast(o_custkey % 10 as string) as doc, cast(o_orderkey % 4000 as string) as source, cast(o_custkey % 3000 as string) as target from orders)
 select doc, source as id, 'out' as side, count(*)::bigint as n from e group by 1, 2 having count(*) > 1 union all select doc, target, 'in', count(*)::bigint from e group by 1, 2 having count(*) > 1""")
 def invariant_next_degree(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0")
-    return graph.next_degree(o.selectExpr("cast(o_custkey % 10 as string) doc", "'NEXT' type", "cast(o_orderkey % 400 as string) source", "cast(o_custkey % 300 as string) target"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return graph.next_degree(o.selectExpr("cast(o_custkey % 10 as string) doc", "'NEXT' type", "cast(o_orderkey % 4000 as string) source", "cast(o_custkey % 3000 as string) target"))
+
+
+# Parts in documents of 97, each part under one other, every fifth also under a second one, and in odd documents only under lesser ones.
+FAN = "select doc, id, up from (select floor(p_partkey / 97) as doc, p_partkey % 97 as id, (p_partkey * 31 + 7) % 97 as up from part union select floor(p_partkey / 97), p_partkey % 97, (p_partkey * 17) % 97 from part where p_partkey % 5 = 0) as x where doc % 2 = 0 or up < id"
 
 
-@query("""with recursive e as (select cast(p_partkey % 20 as string) as doc, p_partkey % 97 as id, min((p_partkey * 31) % 97) as up from part group by 1, 2),
-r as (select doc, id, up, 1 as k from e union all select r.doc, r.id, e.up, k + 1 from r join e on e.doc = r.doc and e.id = r.up where k < 100)
-select doc, cast(id as string) as id from r where k = 100""")
+@query(f"""with recursive e as ({FAN}),
+r as (select doc, id, 1 as k from e union select e.doc, e.id, k + 1 from r join e on e.doc = r.doc and e.up = r.id where k < 98)
+select distinct cast(doc as bigint) as doc, cast(id as bigint) as id from r where k = 98""")
 def invariant_cycles(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    e = p.groupBy(F.expr("cast(p_partkey % 20 as string)").alias("doc"), F.expr("p_partkey % 97").alias("t")).agg(F.expr("min((p_partkey * 31) % 97)").alias("s"))
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir(_scratch())
-    return graph.on_cycles(e.selectExpr("doc", "'PARENT_OF' type", "cast(s as string) source", "cast(t as string) target"), doublings=8)
+    e = spark.sql(FAN.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    found = graph.on_cycles(e.selectExpr("doc", "'PARENT_OF' type", "up source", "id target"))
+    return found.select(F.col("doc").cast("long").alias("doc"), F.col("id").cast("long").alias("id"))
 
 
-def _scratch() -> str:
-    import atexit
-    import shutil
-    import tempfile
+#: Customers in chains of 200 and more under an artifact: each hangs under the one before, every 230th is an artifact, and the first has none.
+CHAIN = "select c_custkey as id, case when c_custkey % 230 <> 0 and c_custkey > 1 then c_custkey - 1 end as up, c_custkey % 230 = 0 as top from customer"
 
-    at = tempfile.mkdtemp(prefix="foliograph-")
-    atexit.register(shutil.rmtree, at, True)
-    return at
 
+def chain(spark, sf_dir):
+    return spark.sql(CHAIN.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
-CLIMB = """with recursive e as (select cast(c_custkey as string) as id, case when c_custkey % 50 = 0 then null else cast(floor(c_custkey / 3) as bigint) end as up, c_custkey % 50 = 0 as top from customer),
-r as (select id, up, 1 as depth from e where not top and up is not null union all select r.id, e.up, depth + 1 from r join e on e.id = cast(r.up as string) where not e.top and e.up is not null)"""
 
+@query(f"with e as ({CHAIN}) select '1' as doc, cast(id as varchar) as id, cast(id - id % 230 as varchar) as artifact from e where not top and id > 230")
+def artifact_map_climb(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    nodes = c.selectExpr("'1' doc", "cast(id as string) id", "case when top then 'Artifact' else 'Text' end type")
+    return graph.artifact_map(nodes, c.where("up is not null").selectExpr("'1' doc", "'PARENT_OF' type", "cast(up as string) source", "cast(id as string) target"))
 
-def tree(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nodes = c.selectExpr("'1' doc", "cast(c_custkey as string) id", "case when c_custkey % 50 = 0 then 'Artifact' else 'Text' end type")
-    edges = c.where("c_custkey % 50 <> 0").selectExpr("'1' doc", "'PARENT_OF' type", "cast(cast(floor(c_custkey / 3) as bigint) as string) source", "cast(c_custkey as string) target")
-    return nodes, edges
 
+@query(f"""with e as ({CHAIN}) select '1' as doc, cast(id as varchar) as id, case when top or id <= 230 then null when id % 7 = 0 then '230' else cast(id - id % 230 as varchar) end as native_artifact, case when not top then cast(id % 9 as int) end as native_page from e""")
+def native_locations(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    nodes = c.selectExpr("'1' doc", "cast(id as string) id", "case when top then 'Artifact' else 'Text' end type", "cast(id % 9 as int) page", "case when not top and id > 230 and id % 7 = 0 then '230' end native_artifact")
+    return graph.with_native_location(nodes, c.where("up is not null").selectExpr("'1' doc", "'PARENT_OF' type", "cast(up as string) source", "cast(id as string) target")).select("doc", "id", "native_artifact", "native_page")
 
-@query(CLIMB + "select '1' as doc, r.id, cast(r.up as string) as artifact from r join e on e.id = cast(r.up as string) where e.top")
-def artifact_map_climb(spark, sf_dir):
-    return graph.artifact_map(*tree(spark, sf_dir))
+
+@query(prefix("report") + "select doc, id, type from report where id in (select cast(o_orderkey * 2 as varchar) from orders)")
+def nodes_by_id(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("cast(o_orderkey * 2 as string) id")
+    nodes = report(spark, sf_dir)
+    return graph.nodes_by_id(nodes, nodes.join(ids.distinct(), "id", "left_semi")).select("doc", "id", "type")
 
 
 WINDOWS = """,
@@ -241,9 +246,27 @@ def document_merge(spark, sf_dir):
     return both.groupBy("doc").agg(F.count("*").alias("n"), F.min("id").alias("low"))
 
 
-@query(prefix("report") + ", s as (select doc, artifact, count(*) as n from report group by 1, 2) select doc, artifact, n::bigint as n from s where n between 2 and 60")
+@query(prefix("report") + ", s as (select doc, artifact as parent, cast(cast(id as bigint) % 3 as int) as page, count(*) as n, string_agg(id, ',' order by ord) as ids from report group by 1, 2, 3) select doc, parent, page, ids from s where n between 2 and 60")
 def sibling_regions(spark, sf_dir):
-    return graph.parent_edges(report(spark, sf_dir)).groupBy("doc", F.col("source").alias("artifact")).agg(F.count("*").alias("n")).where("n between 2 and 60")
+    nodes = report(spark, sf_dir).withColumn("page", F.expr("cast(cast(id as bigint) % 3 as int)"))
+    return enrich.sibling_regions(graph.parent_edges(nodes), nodes).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(prefix("report") + NEAR + """, ok as (select doc, source, min(target) as target from caps where cast(source as bigint) % 2 = 0 group by 1, 2)
+select c.doc, c.source, c.target from caps c where cast(c.source as bigint) % 2 = 1 or exists (select 1 from ok where ok.doc = c.doc and ok.source = c.source and ok.target = c.target)""")
+def confirmed_captions(spark, sf_dir):
+    edges = graph.caption_edges(report(spark, sf_dir)).select("doc", "type", "source", "target")
+    confirmed = edges.where("cast(source as bigint) % 2 = 0").groupBy("doc", "source").agg(F.min("target").alias("target"))
+    return enrich.resolved_captions(edges, confirmed).select("doc", "source", "target")
+
+
+@query(prefix("report") + """, t as (select doc, artifact as g, id, ord, text from report where type = 'Text' and text is not null), k as (select doc, g, min(ord) as o from t group by 1, 2)
+select t.doc, arg_min(t.id, t.ord) as id, string_agg(t.text, chr(10) order by t.ord) as text, string_agg(t.id, ',' order by t.ord) as merged_from from t group by t.doc, t.g""")
+def merged_texts(spark, sf_dir):
+    nodes = placed(spark, sf_dir)
+    groups = nodes.where("type = 'Text' and text is not null").select("doc", F.concat("doc", F.lit("/"), "artifact").alias("group"), "id", F.col("ord").alias("place"))
+    out, _ = enrich.merged_texts(nodes, graph.parent_edges(nodes), groups)
+    return out.where("merged_from is not null").select("doc", "id", "text", F.array_join("merged_from", ",").alias("merged_from"))
 
 
 GRID = """with g as (select o_custkey as id, list([cast(o_orderkey as string), o_orderstatus, o_orderpriority] order by o_orderkey) as grid from orders group by 1)"""

@@ -10,12 +10,13 @@ from ..operators import cells, headings
 from ..operators import geometry as geo
 from ..sources.adapters import adapter, prefix
 from .catalog import query
+from .graph_queries import CHAIN, chain
 
 
 @query(prefix("outline") + """,
 h as (select * from outline where level is not null and not excluded),
 p as (select o.doc, o.artifact, o.ord, o.id, o.level, o.excluded, arg_max(struct_pack(i := h.id), h.ord) as up from outline o left join h on h.artifact = o.artifact and h.ord < o.ord and (o.level is null or h.level < o.level) and not o.excluded where o.id is not null group by all)
-select doc, artifact, ord, id, coalesce(up.i, artifact) as parent, not excluded and (level is not null or up is not null) as structural from p""")
+select doc, artifact, ord, id, coalesce(up.i, artifact) as parent, not excluded and case when up is null then level is not null else up.i is not null end as structural from p""")
 def hierarchy_outline(spark, sf_dir):
     return headings.hierarchy(adapter(spark, sf_dir, "outline")).drop("level", "excluded")
 
@@ -54,13 +55,22 @@ def confirmed_heading_asof(spark, sf_dir):
     return headings.confirmed_heading(nodes, nodes.where("text like '<%'"))
 
 
-@query("""with recursive e as (select c_custkey as id, case when c_custkey >= 3 then cast(floor(c_custkey / 3) as bigint) end as up from customer),
-r as (select id, 0 as depth from e where up is null union all select e.id, depth + 1 from e join r on r.id = e.up)
-select '1' as doc, id, depth::int as depth from r""")
+@query(f"with e as ({CHAIN}) select '1' as doc, id, cast(case when id < 230 then id - 1 else id % 230 end as int) as depth from e where id > 0")
 def node_depth(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nodes = c.selectExpr("'1' doc", "c_custkey id")
-    return headings.depths(nodes, c.where("c_custkey >= 3").selectExpr("'1' doc", "c_custkey id", "cast(floor(c_custkey / 3) as bigint) parent"))
+    c = chain(spark, sf_dir).where("id > 0")
+    return headings.depths(c.selectExpr("'1' doc", "id"), c.where("up is not null").selectExpr("'1' doc", "id", "up parent"))
+
+
+# Events as outlines of twelve levels and body, in scopes of 50.
+DEEP = "select '1' as doc, cast(cast(floor(event_id / 50) as bigint) as string) as artifact, cast(event_id as int) as ord, cast(event_id as string) as id, case when event_id * 7 % 13 < 12 then cast(event_id * 7 % 13 as int) end as level, event_id % 17 = 3 as excluded from events"
+
+
+@query(f"""with o as ({DEEP}), h as (select * from o where level is not null and not excluded),
+p as (select o.doc, o.artifact, o.ord, o.id, o.level, o.excluded, arg_max(h.id, h.ord) as up from o left join h on h.artifact = o.artifact and h.ord < o.ord and (o.level is null or h.level < o.level) and not o.excluded group by all)
+select doc, artifact, ord, id, coalesce(up, artifact) as parent, not excluded and (level is not null or up is not null) as structural from p""")
+def hierarchy_deep(spark, sf_dir):
+    e = spark.sql(DEEP.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return headings.hierarchy(e).drop("level", "excluded")
 
 
 def boxes(spark, sf_dir):
@@ -94,11 +104,11 @@ def centre_absorption(spark, sf_dir):
     return geo.absorbed(b.where("id % 5 = 0").select("page", F.col("id").alias("region"), F.col("bbox").alias("rb")), b.where("id % 5 > 0"))
 
 
-@query(prefix("boxes") + """select p.page, p.id as point, arg_min(b.id, cast((b.x1 - b.x0) * (b.y1 - b.y0) as bigint) * 1000000 + b.ord) as id from boxes p join boxes b on p.page = b.page and p.id % 3 = 0
+@query(prefix("boxes") + """select p.page, p.id as point, arg_min(b.id, cast((b.x1 - b.x0) * (b.y1 - b.y0) as bigint) * 1000000 + b.ord) as id from boxes p join boxes b on p.page = b.page
  and p.x0 between b.x0 - 3 and b.x1 + 3 and p.y0 between b.y0 - 3 and b.y1 + 3 group by 1, 2""")
 def smallest_node_at_point(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return geo.smallest_at(b.where("id % 3 = 0").select("page", F.col("id").alias("point"), F.col("bbox.x_min").alias("x"), F.col("bbox.y_min").alias("y")), b)
+    return geo.smallest_at(b.select("page", F.col("id").alias("point"), F.col("bbox.x_min").alias("x"), F.col("bbox.y_min").alias("y")), b)
 
 
 REACH = """ both_ as (select page, a, b from near union all select page, b, a from near),
@@ -160,16 +170,26 @@ def prefix_offsets(spark, sf_dir):
     return cells.offsets(sheet(spark, sf_dir).groupBy("sheet", F.col("row").alias("i")).agg(F.sum("col").alias("size")))
 
 
-@query("select o_orderkey as id, printf('%.2f', o_totalprice) as plain, format('{:,.2f}', o_totalprice) as thousands from orders")
+FORMATS = ["0.00", "#,##0.00", '"EUR "#,##0.0;[Red](#,##0.0);"none"', "0.0%", "%0", '0" days"', "General"]
+
+
+@query("""with v as (select o_orderkey as id, cast(o_orderkey % 7 as int) as k, case when o_orderkey % 11 = 0 then 0 when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end as x from orders)
+select id, case k when 0 then printf('%.2f', x) when 1 then format('{:,.2f}', x) when 2 then case when x > 0 then format('EUR {:,.1f}', x) when x < 0 then format('({:,.1f})', -x) else 'none' end
+ when 3 then case when x < 0 then '-' else '' end || printf('%.1f', abs(x) * 100) || '%' when 4 then case when x < 0 then '-' else '' end || '%' || printf('%.0f', abs(x) * 100)
+ when 5 then case when x < 0 then '-' else '' end || printf('%.0f', abs(x)) || ' days' else cast(cast(floor(x) as bigint) as varchar) end as shown from v""")
 def number_format(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(F.col("o_orderkey").alias("id"), numbers.fixed(F.col("o_totalprice"), 2).alias("plain"), numbers.fixed(F.col("o_totalprice"), 2, True).alias("thousands"))
+    x = F.expr("case when o_orderkey % 11 = 0 then 0 when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end")
+    v = o.select(F.col("o_orderkey").alias("id"), F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("fmt"), x.alias("x"))
+    v = v.withColumn("x", F.when(F.col("fmt") == "General", F.floor("x")).otherwise(F.col("x")))
+    return v.select("id", numbers.displayed_by(F.col("x"), F.col("fmt"), FORMATS).alias("shown"))
 
 
-@query("select o_orderkey as id, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y-%m') else strftime(o_orderdate, '%d/%m/%Y') end as shown from orders")
+@query("""select o_orderkey as id, case o_orderkey % 7 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%y-%m-%d') when 2 then strftime(o_orderdate, '%m-%d-%Y') when 3 then strftime(o_orderdate, '%m/%d/%Y')
+ when 4 then strftime(o_orderdate, '%Y-%m') when 5 then strftime(o_orderdate, '%m-%d') else strftime(o_orderdate, '%Y-%m-%d') end as shown from orders""")
 def date_format_xl(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    fmt = F.element_at(F.array(F.lit("yyyy-mm-dd"), F.lit("yyyy-mm"), F.lit("dd/mm/yyyy")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    fmt = F.element_at(F.array(*map(F.lit, ["yyyy/mm/dd", "YY.MM.DD", "mm-dd-yyyy", "m/d/yyyy", "yyyy.mm", "mm/dd", "[$-409]d mmm"])), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return o.select(F.col("o_orderkey").alias("id"), numbers.excel_date(F.col("o_orderdate"), fmt).alias("shown"))
 
 

@@ -41,11 +41,11 @@ ADAPTERS = {
         """select cast(floor(event_id / 60) as int) as page, event_id as id, cast(event_id as int) as ord,
  cast(event_id * 37 % 600 as int) as x0, cast(event_id * 91 % 700 as int) as y0, cast(event_id * 37 % 600 + event_id % 90 + 5 as int) as x1, cast(event_id * 91 % 700 + event_id % 50 + 5 as int) as y1 from events""",
     ),
-    # Line items as cells of sheets.
+    # Line items as cells of sheets: 200 orders a sheet, each a row, with gaps after some rows and columns.
     "sheet": (
         ("lineitem",),
-        """select cast(l_orderkey % 40 as int) as sheet, cast(floor(l_orderkey / 40) % 50 as int) * 2 + cast(l_linenumber % 2 as int) as row, cast(l_linenumber as int) * 2 as col,
- cast(min(l_partkey) as string) as value from lineitem where l_partkey % 3 > 0 group by 1, 2, 3""",
+        """select cast(floor(l_orderkey / 200) as int) as sheet, cast(l_orderkey % 200 * 2 + case when l_orderkey % 3 = 0 then 1 else 0 end as int) as row,
+ cast(l_linenumber + floor(l_linenumber / 3) as int) as col, cast(min(l_partkey) as string) as value from lineitem group by 1, 2, 3""",
     ),
     # Documents' lines as texts.
     "lines": (("documents",), "select doc_id, source, text from documents where text is not null"),
