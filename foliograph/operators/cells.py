@@ -118,3 +118,16 @@ def with_anchors(cells: DataFrame, merges: DataFrame) -> DataFrame:
     near = (F.col("sheet") == F.col("s_")) & (F.floor(F.col("row") / BAND) == F.col("band_")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
     out = cells.join(m, near, "left")
     return out.select(*cells.columns, F.coalesce("r0", "row").alias("anchor_row"), F.coalesce("c0", "col").alias("anchor_col"))
+
+
+def reached(sizes: DataFrame, anchors: DataFrame, most: int = 2000) -> DataFrame:
+    """anchors (sheet, i, offset, extent) with reached: the row or column in which something ends that starts offset pixels into i.
+
+    sizes: (sheet, i, size). The walk is ``most`` rows or columns at the longest, and stops at the last that has a size. A sheet's ends
+    are one sorted array, of which an anchor takes the first that reaches far enough.
+    """
+    ends = offsets(sizes).select("sheet", "i", "start", (F.col("start") + F.col("size")).alias("end"))
+    by = ends.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("i", "end"))).alias("ends_"), F.max("i").alias("last_"))
+    at = anchors.join(ends.select("sheet", "i", "start"), ["sheet", "i"]).join(by, "sheet").withColumn("goal_", F.col("start") + F.col("offset") + F.col("extent"))
+    first = F.expr("array_min(transform(filter(ends_, e -> e.i >= i and e.end >= goal_), e -> e.i))")
+    return at.select(*anchors.columns, F.least(F.coalesce(first, "last_"), F.col("i") + most).alias("reached"))

@@ -1,3 +1,3 @@
 """Importing this registers every query of the engine."""
 
-from . import graph_queries, layout_queries, shape_queries  # noqa: F401
+from . import drawing_queries, graph_queries, layout_queries, shape_queries  # noqa: F401
