@@ -15,12 +15,14 @@ from .sources import office
 def build(spark: SparkSession, path: str):
     """(nodes, edges) of all files under a path: outline hierarchy, numbered nesting, captions, references, bookmarks."""
     raw = office.read_files(spark, path)
-    nodes = office.nodes_of(raw)
+    nodes = office.nodes_of(raw).unionByName(office.sheet_nodes(raw), allowMissingColumns=True)
     tree = headings.hierarchy(nodes.withColumn("excluded", F.col("is_toc")))
     nested = headings.numbered_nesting(nodes).withColumnRenamed("parent", "nested_")
     tree = tree.join(nested, ["doc", "id"], "left").withColumn("source", F.when(~F.col("structural"), F.coalesce("nested_", "parent")).otherwise(F.col("parent")))
     edges = tree.select("doc", F.lit("PARENT_OF").alias("type"), "source", F.col("id").alias("target"))
-    return nodes, graph.finalize(nodes, edges).unionByName(office.bookmark_references(nodes)).distinct()
+    tops, links = office.containers(raw)
+    edges = graph.finalize(nodes, edges).unionByName(office.bookmark_references(nodes)).unionByName(links).distinct()
+    return graph.with_native_location(nodes.unionByName(tops, allowMissingColumns=True), edges), edges
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -40,11 +42,8 @@ def main(argv: list[str] | None = None) -> int:
         lines = lines.unionByName(export.cypher_edges(edges, ["doc"]).select("section", F.lit(0).cast("long").alias("ord"), "line"))
         export.write_cypher(lines, args.output)
     if args.check:
-        tops = nodes.select("doc", F.col("artifact").alias("id")).distinct()
-        known = nodes.select("doc", "id").unionByName(tops)
-        for name, df in (("dangling", graph.dangling(known, edges)), ("fan-in", graph.fan_in(edges))):
-            for r in df.limit(100).toLocalIterator():
-                print(name, r.asDict(), file=sys.stderr)
+        for r in graph.problems(nodes, edges).limit(100).toLocalIterator():
+            print(r.asDict(), file=sys.stderr)
     return 0
 
 

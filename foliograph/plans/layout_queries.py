@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions import text as tx
-from ..operators import cells, headings
+from ..operators import cells, headings, sheets
 from ..operators import geometry as geo
 from ..sources.adapters import adapter, prefix
 from .catalog import query
@@ -198,3 +198,47 @@ def layout_hint(spark, sf_dir):
     b = boxes(spark, sf_dir)
     cell = F.col("id") % 3 == 0
     return b.select("id", tx.layout_hint(F.when(~cell, F.col("page")), F.when(~cell, F.col("bbox")), F.when(cell, F.col("id") % 9), F.when(cell, F.col("page"))).alias("hint"))
+
+
+# Customers as bordered cells: twenty to a sheet's row, rectangles of three by two with gaps, some of them open.
+BORDERS = "select cast(floor(c_custkey / 400) as int) as sheet, cast(floor(c_custkey / 20) % 20 as int) as row, cast(c_custkey % 20 as int) as col, c_custkey % 20 % 4 < 3 and floor(c_custkey / 20) % 3 = 0 and c_custkey % 37 > 0 as top, c_custkey % 20 % 4 = 0 and floor(c_custkey / 20) % 3 < 2 as left_, c_custkey % 20 % 4 < 3 and floor(c_custkey / 20) % 3 = 1 as bottom, c_custkey % 20 % 4 = 2 and floor(c_custkey / 20) % 3 < 2 as right_ from customer"
+
+
+@query(f"""with b as ({BORDERS}), k as (select sheet, row as r0, col as c0 from b where top and left_),
+e as (select k.*, (select coalesce(min(x.col), 20) - 1 from (select k.sheet as s, k.r0 as r, unnest(range(20)) as col) x where x.col > k.c0 and not exists (select 1 from b where b.sheet = x.s and b.row = x.r and b.col = x.col and b.top)) as c1,
+ (select coalesce(min(x.row), 20) - 1 from (select k.sheet as s, k.c0 as c, unnest(range(20)) as row) x where x.row > k.r0 and not exists (select 1 from b where b.sheet = x.s and b.col = x.c and b.row = x.row and b.left_)) as r1 from k),
+f as (select e.* from e where (r1 > r0 or c1 > c0) and (select count(*) from b where b.sheet = e.sheet and b.row = e.r1 and b.col between e.c0 and e.c1 and bottom) = c1 - c0 + 1 and (select count(*) from b where b.sheet = e.sheet and b.col = e.c1 and b.row between e.r0 and e.r1 and right_) = r1 - r0 + 1),
+o as (select * from f where not exists (select 1 from f g where g.sheet = f.sheet and g.r0 <= f.r0 and g.c0 <= f.c0 and g.r1 >= f.r1 and g.c1 >= f.c1 and (g.r0, g.c0, g.r1, g.c1) <> (f.r0, f.c0, f.r1, f.c1)))
+select sheet, 'BorderTable' || row_number() over (partition by sheet order by r0, c0) as name, r0, c0, r1::int as r1, c1::int as c1 from o""")
+def border_tables(spark, sf_dir):
+    b = spark.sql(BORDERS.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return sheets.border_tables(b.withColumnsRenamed({"left_": "left", "right_": "right"}))
+
+
+RANGES = "select distinct sheet, cast(concat('t', cast(floor(row / 30) as int)) as string) as name, cast(floor(row / 30) as int) * 30 as r0, 2 as c0, cast(floor(row / 30) as int) * 30 + 9 as r1, 5 as c1 from sheet"
+
+
+def ranges(spark, sf_dir):
+    return spark.sql(RANGES.replace("from sheet", "from {sheet}"), sheet=sheet(spark, sf_dir))
+
+
+@query(prefix("sheet") + f", r as ({RANGES}) select sheet, name, r0, count(value)::bigint as filled, string_agg(coalesce(value, ''), '|' order by y, x) as cells from (select r.*, y, x, s.value from r, (select unnest(range(10)) as y), (select unnest(range(2, 6)) as x) left join sheet s on s.sheet = r.sheet and s.row = r.r0 + y and s.col = x) group by 1, 2, 3")
+def table_grids(spark, sf_dir):
+    g = sheets.table_grids(sheet(spark, sf_dir), ranges(spark, sf_dir))
+    flat = F.flatten("grid")
+    return g.select("sheet", "name", "r0", F.size(F.filter(flat, lambda v: v != "")).cast("long").alias("filled"), F.array_join(flat, "|").alias("cells"))
+
+
+@query(prefix("sheet") + f", r as ({RANGES}) select s.sheet, s.row, s.col, s.value from sheet s where not exists (select 1 from r where r.sheet = s.sheet and s.row between r.r0 and r.r1 and s.col between r.c0 and r.c1)")
+def cells_outside(spark, sf_dir):
+    return cells.in_ranges(sheet(spark, sf_dir), ranges(spark, sf_dir), "left_anti")
+
+
+@query(prefix("sheet") + f", r as ({RANGES}) select s.sheet, s.row, s.col, coalesce(r.r0, s.row) as anchor_row, coalesce(r.c0, s.col) as anchor_col from sheet s left join r on r.sheet = s.sheet and s.row between r.r0 and r.r1 and s.col between r.c0 and r.c1")
+def merged_anchors(spark, sf_dir):
+    return cells.with_anchors(sheet(spark, sf_dir), ranges(spark, sf_dir)).drop("value")
+
+
+@query(prefix("boxes").replace("with ", "with recursive ", 1) + """, near as (select a.page, a.id as a, b.id as b from boxes a join boxes b on a.page = b.page and a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1),""" + REACH + " select page as sheet, id, cluster as base from comp")
+def picture_groups(spark, sf_dir):
+    return sheets.picture_groups(boxes(spark, sf_dir).withColumnRenamed("page", "sheet"))

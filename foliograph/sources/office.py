@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import display
+from ..operators import graph, sheets
 from ..operators.geometry import box
 
 W_ = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -203,7 +204,20 @@ def pptx_rows(data: bytes) -> Iterator[dict]:
 # Sheets
 
 # The number formats that files refer to without stating them.
-BUILT_IN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "yyyy-mm-dd", 22: "yyyy-mm-dd"}
+BUILT_IN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm"}
+BUILT_IN |= {37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)", 40: "#,##0.00_);[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 49: "@"}
+
+
+def is_date(fmt: str | None) -> bool:
+    """Whether a format shows a date or a time: one of its letters stands outside quotes, escapes and brackets other than of hours."""
+    bare = re.sub(r'"[^"]*"?|\\.|_.|\[(?!(?:h+|m+|s+)\])[^\]]*\]', "", (fmt or "").split(";")[0], flags=re.I)
+    return bare.lower() != "general" and re.search(r"[dmyhs]", bare, re.I) is not None
+
+
+def moment(days: float, since_1904: bool):
+    """A date, time or both, of a serial number; a number under 1 is a time of day."""
+    at = pd.Timestamp("1904-01-01" if since_1904 else "1899-12-30") + pd.Timedelta(days=days).round("ms")
+    return at.to_pydatetime().time() if 0 <= days < 1 else at.to_pydatetime()
 
 
 def place(ref: str) -> tuple[int, int]:
@@ -225,13 +239,24 @@ def xlsx_rows(data: bytes) -> Iterator[dict]:
         own = {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(f"{S_}numFmt")}
         xfs = styles.find(f"{S_}cellXfs")
         formats = [own.get(i, BUILT_IN.get(i)) for i in (int(x.get("numFmtId") or 0) for x in (xfs if xfs is not None else []))]
+    sides: list[str] = []  # of each cell style, the sides that have a border
+    if "xl/styles.xml" in names:
+        borders = [b for b in (styles.find(f"{S_}borders") or [])]
+        drawn = ["".join(side[0] for side in ("top", "left", "bottom", "right") if (e := b.find(f"{S_}{side}")) is not None and e.get("style") not in (None, "none")) for b in borders]
+        sides = [drawn[k] if (k := int(x.get("borderId") or 0)) < len(drawn) else "" for x in (xfs if xfs is not None else [])]
     rels = relations(z, "xl/workbook.xml")
-    for i, s in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{S_}sheet")):
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    since_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{S_}workbookPr"))
+    for i, s in enumerate(book.iter(f"{S_}sheet")):
         base = {"part": i, "part_name": s.get("name")}
         part = rels[s.get(f"{R_}id")]
         sheet = ET.fromstring(z.read(part))
         for c in sheet.iter(f"{S_}c"):
             v, kind = c.find(f"{S_}v"), c.get("t")
+            style = int(c.get("s") or 0)
+            if style < len(sides) and sides[style]:
+                r, col = place(c.get("r"))
+                yield base | {"kind": "Border", "text": sides[style], "row": r, "col": col}
             text = "".join(t.text or "" for t in c.iter(f"{S_}t")) if kind == "inlineStr" else None if v is None else v.text
             if text is None or text == "":
                 continue
@@ -240,14 +265,13 @@ def xlsx_rows(data: bytes) -> Iterator[dict]:
             elif kind == "b":
                 text = str(text == "1")
             elif kind in (None, "n"):
-                style = int(c.get("s") or 0)
                 fmt = formats[style] if style < len(formats) else None
-                value = pd.Timestamp("1899-12-30") + pd.Timedelta(days=float(text)) if fmt and re.search(r"(?i)y", fmt) else float(text)
-                text = display(value.to_pydatetime() if isinstance(value, pd.Timestamp) else value, fmt)
+                text = display(moment(float(text), since_1904) if is_date(fmt) else float(text), fmt)
             r, col = place(c.get("r"))
             yield base | {"kind": "Cell", "text": text, "row": r, "col": col}
         for m in sheet.iter(f"{S_}mergeCell"):
-            yield base | {"kind": "Merge", "text": m.get("ref"), "row": place(m.get("ref").split(":")[0])[0], "col": place(m.get("ref").split(":")[0])[1]}
+            (r0, c0), (r1, c1) = (place(x) for x in (m.get("ref").split(":") * 2)[:2])
+            yield base | {"kind": "Merge", "text": m.get("ref"), "row": r0, "col": c0, "x0": float(r0), "y0": float(c0), "x1": float(r1), "y1": float(c1)}
         for target in relations(z, part).values():
             if "/tables/" in f"/{target}" and target in names:
                 t = ET.fromstring(z.read(target))
@@ -295,6 +319,33 @@ def nodes_of(raw: DataFrame) -> DataFrame:
     return content.select(F.col("path").alias("doc"), artifact.alias("artifact"), "ord", ident.alias("id"), F.col("kind").alias("type"), "text", "grid", "level", F.coalesce("is_toc", F.lit(False)).alias("is_toc"), "list_num_id", "list_level", "bookmarks", "links", "image_path", bbox.alias("bbox"))
 
 
+def sheet_nodes(raw: DataFrame) -> DataFrame:
+    """Nodes of sheets: tables with their grids, and texts of the cells outside them, numbered in each file by sheet and place."""
+    cells, ranges = cells_of(raw), sheets.table_ranges(ranges_of(raw, "TableRange"), sheets.border_tables(borders_of(raw)))
+    names = raw.where("kind in ('Cell', 'TableRange', 'Border')").select(sheet_key().alias("sheet"), F.col("path").alias("doc"), F.col("doc").alias("file"), "part", "part_name").distinct()
+    tables = sheets.table_grids(cells, ranges).select("sheet", F.lit("Table").alias("type"), sheets.range_name(F.col("name")).alias("name"), F.lit(None).cast("string").alias("text"), "grid", F.col("r0").alias("row"), F.col("c0").alias("col"))
+    texts = sheets.text_components(cells, ranges).select("sheet", F.lit("Text").alias("type"), F.lit(None).cast("string").alias("name"), "text", F.lit(None).cast("array<array<string>>").alias("grid"), "row", "col")
+    out = tables.unionByName(texts).join(names, "sheet")
+    number = F.row_number().over(W.partitionBy("doc", "type").orderBy("part", "row", "col"))
+    order = F.row_number().over(W.partitionBy("doc", "part").orderBy("row", "col", "type")) - 1
+    ident = F.concat(F.lit("content:"), "file", F.lit(":s"), F.col("part").cast("string"), F.lit(":"), F.when(F.col("type") == "Table", "tbl").otherwise("txt"), number.cast("string"))
+    artifact = F.concat(F.lit("artifact:"), "file", F.lit(":sheet"), F.col("part").cast("string"))
+    return out.select("doc", artifact.alias("artifact"), order.cast("int").alias("ord"), ident.alias("id"), "type", "name", "text", "grid", F.lit(None).cast("int").alias("level"), F.lit(False).alias("is_toc"), "row", "col")
+
+
+def containers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(File and Artifact nodes, the edges between them): a file over its text, slides or sheets, and slides one after the other."""
+    kind = F.lower(F.element_at(F.split("path", "[.]"), -1))
+    scope = F.when(kind == "pptx", F.concat(F.lit("slide"), F.col("part").cast("string"))).when(kind == "xlsx", F.concat(F.lit("sheet"), F.col("part").cast("string"))).otherwise("doc")
+    parts = raw.where("kind <> 'error'").select(F.col("path").alias("doc"), F.col("doc").alias("file"), "part", "part_name", scope.alias("scope"), kind.alias("kind")).distinct()
+    arts = parts.groupBy("doc", "file", "scope", "kind").agg(F.min("part").alias("ord"), F.min("part_name").alias("name"))
+    arts = arts.withColumn("id", F.concat(F.lit("artifact:"), "file", F.lit(":"), "scope"))
+    files = raw.select(F.col("path").alias("doc"), F.col("doc").alias("file")).distinct().select("doc", F.lit(0).alias("ord"), F.concat(F.lit("file:"), "file").alias("id"), F.lit("File").alias("type"), F.col("file").alias("name"))
+    nodes = files.unionByName(arts.select("doc", "ord", "id", F.lit("Artifact").alias("type"), "name"))
+    under = arts.select("doc", F.lit("PARENT_OF").alias("type"), F.concat(F.lit("file:"), "file").alias("source"), F.col("id").alias("target"))
+    return nodes, under.unionByName(graph.next_edges(arts.where("kind = 'pptx'").select("doc", "ord", "id")))
+
+
 def bookmark_references(nodes: DataFrame) -> DataFrame:
     """Internal links to bookmarks that one node alone has: rows (doc, type, source, target)."""
     marks = nodes.select("doc", "id", F.explode("bookmarks").alias("mark")).distinct()
@@ -303,10 +354,24 @@ def bookmark_references(nodes: DataFrame) -> DataFrame:
     return links.join(one, ["doc", "mark"]).where("source <> target").select("doc", F.lit("REFERENCES").alias("type"), "source", "target").distinct()
 
 
+def sheet_key() -> Column:
+    return F.concat_ws("#", "path", F.col("part").cast("string"))
+
+
 def cells_of(raw: DataFrame) -> DataFrame:
-    return raw.where("kind = 'Cell'").select(F.concat_ws("#", "path", F.col("part").cast("string")).alias("sheet"), "row", "col", F.col("text").alias("value"))
+    return raw.where("kind = 'Cell'").select(sheet_key().alias("sheet"), "row", "col", F.col("text").alias("value"))
 
 
-def table_ranges_of(raw: DataFrame) -> DataFrame:
+def ranges_of(raw: DataFrame, kind: str) -> DataFrame:
+    """Declared tables ('TableRange') or merged cells ('Merge') as (sheet, name, r0, c0, r1, c1)."""
     c = lambda n: F.col(n).cast("int")
-    return raw.where("kind = 'TableRange'").select(F.concat_ws("#", "path", F.col("part").cast("string")).alias("sheet"), F.col("text").alias("name"), c("x0").alias("r0"), c("y0").alias("c0"), c("x1").alias("r1"), c("y1").alias("c1"))
+    return raw.where(F.col("kind") == kind).select(sheet_key().alias("sheet"), F.col("text").alias("name"), c("x0").alias("r0"), c("y0").alias("c0"), c("x1").alias("r1"), c("y1").alias("c1"))
+
+
+def table_ranges_of(raw: DataFrame) -> DataFrame:
+    return ranges_of(raw, "TableRange")
+
+
+def borders_of(raw: DataFrame) -> DataFrame:
+    side = lambda s: F.contains("text", F.lit(s[0])).alias(s)
+    return raw.where("kind = 'Border'").select(sheet_key().alias("sheet"), "row", "col", *map(side, ("top", "left", "bottom", "right")))
