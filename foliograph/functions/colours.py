@@ -42,25 +42,38 @@ def fill(pattern: Column, colour: Column) -> Column:
     return F.when(pattern == "solid", colour)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lightness_changed(colour: Column, mod: Column, off: Column) -> Column:
     """A colour (six digits) whose lightness is multiplied and moved, each in thousandths of a per cent."""
-    rgb = channels(colour)
-    r, g, b = (rgb[c] / 255.0 for c in "rgb")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    span, light = high - low, (high + low) / 2.0
-    strength = F.when(span == 0, 0.0).when(light <= 0.5, span / (high + low)).otherwise(span / (2.0 - high - low))
-    turn = F.when(span == 0, 0.0).when(r == high, (g - b) / span).when(g == high, 2.0 + (b - r) / span).otherwise(4.0 + (r - g) / span)
-    hue = F.pmod(turn / 6.0, F.lit(1.0))
-    new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), light * F.coalesce(mod / 100000.0, F.lit(1.0)) + F.coalesce(off / 100000.0, F.lit(0.0))))
-    top = F.when(new <= 0.5, new * (1.0 + strength)).otherwise(new + strength - new * strength)
-    bottom = 2.0 * new - top
-
-    def channel(shift: float) -> Column:
-        t = F.pmod(hue + shift, F.lit(1.0))
-        value = F.when(t < 1 / 6, bottom + (top - bottom) * t * 6.0).when(t < 0.5, top).when(t < 2 / 3, bottom + (top - bottom) * (2 / 3 - t) * 6.0).otherwise(bottom)
-        return F.rint(F.when(strength == 0, new).otherwise(value) * 255).cast("int")
-
-    return hexadecimal(F.struct(channel(1 / 3).alias("r"), channel(0.0).alias("g"), channel(-1 / 3).alias("b")))
+    m, o = F.coalesce(mod / 100000.0, F.lit(1.0)), F.coalesce(off / 100000.0, F.lit(0.0))
+
+    def parts(c: Column) -> Column:
+        r, g, b = (c[k] / 255.0 for k in "rgb")
+        return F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.greatest(r, g, b).alias("hi"), F.least(r, g, b).alias("lo"), m.alias("m"), o.alias("o"))
+
+    def turned(p: Column) -> Column:
+        span, light = p["hi"] - p["lo"], (p["hi"] + p["lo"]) / 2.0
+        strength = F.when(span == 0, 0.0).when(light <= 0.5, span / (p["hi"] + p["lo"])).otherwise(span / (2.0 - p["hi"] - p["lo"]))
+        turn = F.when(span == 0, 0.0).when(p["r"] == p["hi"], (p["g"] - p["b"]) / span).when(p["g"] == p["hi"], 2.0 + (p["b"] - p["r"]) / span).otherwise(4.0 + (p["r"] - p["g"]) / span)
+        return F.struct((turn / 6.0).alias("hue"), strength.alias("s"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), light * p["m"] + p["o"])).alias("new"))
+
+    def edges(p: Column) -> Column:
+        top = F.when(p["new"] <= 0.5, p["new"] * (1.0 + p["s"])).otherwise(p["new"] + p["s"] - p["new"] * p["s"])
+        return F.struct(p["hue"].alias("hue"), p["s"].alias("s"), p["new"].alias("new"), top.alias("top"), (2.0 * p["new"] - top).alias("low"))
+
+    def shown(p: Column) -> Column:
+        def channel(shift: Column) -> Column:
+            t = p["hue"] + shift - F.floor(p["hue"] + shift)
+            value = F.when(t < 1 / 6, p["low"] + (p["top"] - p["low"]) * t * 6.0).when(t < 0.5, p["top"]).when(t < 2 / 3, p["low"] + (p["top"] - p["low"]) * (2 / 3 - t) * 6.0).otherwise(p["low"])
+            return F.lpad(F.hex(F.rint(F.when(p["s"] == 0, p["new"]).otherwise(value) * 255).cast("long")), 2, "0")
+
+        return F.array_join(F.transform(F.array(F.lit(1 / 3), F.lit(0.0), F.lit(-1 / 3)), channel), "")
+
+    return let(let(let(let(channels(colour), parts), turned), edges), shown)
 
 
 def series_colour(own: Column, place: Column) -> Column:

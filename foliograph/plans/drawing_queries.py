@@ -122,11 +122,11 @@ def cell_colours(spark, sf_dir):
 
 @query("""with c as (select p_partkey as id, cast(p_partkey * 31 % 256 as double) / 255 as r, cast(p_partkey * 57 % 256 as double) / 255 as g, cast(p_partkey * 91 % 256 as double) / 255 as b, p_size * 3000 as m, (p_size % 7 - 3) * 5000 as o from part),
 h as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from c), l as (select *, (hi + lo) / 2 as l, hi - lo as s from h),
-t as (select *, case when s = 0 then 0 when l <= 0.5 then s / (hi + lo) else s / (2 - hi - lo) end as sat, case when s = 0 then 0 when r = hi then (g - b) / s when g = hi then 2 + (b - r) / s else 4 + (r - g) / s end / 6 as hue, least(1, greatest(0, l * m / 100000 + o / 100000.0)) as nl from l),
+t as (select *, case when s = 0 then 0 when l <= 0.5 then s / (hi + lo) else s / (2 - hi - lo) end as sat, case when s = 0 then 0 when r = hi then (g - b) / s when g = hi then 2 + (b - r) / s else 4 + (r - g) / s end / 6 as hue, least(1, greatest(0, l * (m / 100000.0) + o / 100000.0)) as nl from l),
 q as (select *, case when nl <= 0.5 then nl * (1 + sat) else nl + sat - nl * sat end as top from t),
 x as (select id, sat, nl, top, 2 * nl - top as bot, unnest([0, 1, 2]) as k, unnest([hue + 1 / 3, hue, hue - 1 / 3]) as u from q),
 y as (select *, u - floor(u) as f from x),
-z as (select id, k, round_even(255 * case when sat = 0 then nl when f < 1 / 6 then bot + (top - bot) * f * 6 when f < 0.5 then top when f < 2 / 3 then bot + (top - bot) * (2 / 3 - f) * 6 else bot end, 0)::bigint as v from y)
+z as (select id, k, round_even(case when sat = 0 then nl when f < 1 / 6 then bot + (top - bot) * f * 6 when f < 0.5 then top when f < 2 / 3 then bot + (top - bot) * (2 / 3 - f) * 6 else bot end * 255, 0)::bigint as v from y)
 select id, string_agg(printf('%02X', v), '' order by k) as colour from z group by id""")
 def lightness(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
