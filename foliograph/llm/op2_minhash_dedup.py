@@ -8,9 +8,10 @@ similarity 0.85 meet in one of the 16 bands but for one case in 100,000.
 Equal sets are one class before anything else, so thousands of copies are one row. In a bucket, classes
 are not paired with each other: each is tied to the bucket's centre, the class that meets most others in all buckets,
 and candidates are confirmed on the full sets. That joins a group of near copies to its origin. What is still in
-several components of a bucket is compared in blocks of about 48 classes of like size: a row holds two blocks, their sets are
-intersected as matrices, and links that suffice for their components come out. Blocks whose sizes differ too much for any link
-never meet. So every two classes of a bucket that aren't in one component and may be linked are compared on their full sets, and none is left out.
+several components of a bucket is joined on its rare shingles (prefix filtering): by a common order of shingles, the rarest first, two
+linked sets share one of the first 15 to 20 per cent of theirs. What so meets in different components, and can have enough in common by
+its sizes and the shingle's places, is confirmed on full sets. The filter loses no link, and a passage that many texts
+share, though it fills a bucket with unlike documents, makes no pairs of them: its shingles are frequent and come last.
 
 Defined results: an empty table gives no rows; null or empty texts, and texts of separators only, have empty sets and are linked with
 nothing; fewer words than a shingle are one shingle; equal rows of one doc_id are one document, and different texts
@@ -20,17 +21,15 @@ columns are not read. A text is never cut, so an executor needs some 50 bytes of
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .shared import components, rows_per_batch, sized, table, with_given_ids, with_own_ids, written
 
-SHINGLE, BINS, ROWS, BLOCK = 5, 64, 4, 48
+SHINGLE, BINS, ROWS = 5, 64, 4
 WORDS = K.byte_table(21, lower=True, zero=K.SPACES)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PROBES = np.random.default_rng(22).integers(0, BINS, (4096, BINS))
@@ -131,58 +130,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set on the left with each on the right."""
-    vocab = K.unique(np.concatenate([*left, *right]))
-    if len(vocab) * (len(left) + len(right)) <= 1 << 22:
-        sides = []
-        for sets in (left, right):
-            m = np.zeros((len(sets), len(vocab)), np.float32)
-            for i, s in enumerate(sets):
-                m[i, np.searchsorted(vocab, s)] = 1
-            sides.append(m)
-        return (sides[0] @ sides[1].T).astype(np.int64)
-    out = np.zeros((len(left), len(right)), np.int64)  # long texts: one pair at a time
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            if len(x) and len(y):
-                out[i, j] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-    return out
-
-
-def compared(blocks: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Links (a, b) between different components of two blocks of a bucket, as many as join them."""
-    one = blocks.select("key", F.col("size").alias("s1"), F.col("block").alias("b1"), F.col("own").alias("left"), F.explode(F.expr("array(size, size + 1)")).alias("s2"))
-    two = blocks.select("key", F.col("size").alias("s2"), F.col("block").alias("b2"), F.col("own").alias("right"))
-
-    def sets_of(texts) -> list[np.ndarray]:
-        return [s for _, _, data, off in K.chunks(texts) for s in shingle_sets(data, off, shingle)]
+def shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """rows (rep, n, h) of the distinct shingles of texts (rep, text)."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for left, right in zip(batch.column(0), batch.column(1)):
-                sides = [(x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), sets_of(x.values.field(2))) for x in (left, right)]
-                (ids, comps, sets), (ids2, comps2, sets2) = sides
-                size, size2 = np.array([len(s) for s in sets]), np.array([len(s) for s in sets2])
-                both = shared_counts(sets, sets2)
-                ok = 100 * both >= percent * (size[:, None] + size2[None, :] - both)
-                root: dict = {}
-
-                def find(i, root=root):
-                    while root.get(i, i) != i:
-                        i = root[i]
-                    return i
-
-                for i, j in zip(*np.nonzero(ok & (comps[:, None] != comps2[None, :]))):
-                    x, y = find(int(comps[i])), find(int(comps2[j]))
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        a.append(int(ids[i]))
-                        b.append(int(ids2[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return one.join(two, ["key", "s2"]).where("s1 < s2 or b1 <= b2").select("left", "right").mapInArrow(run, "a long, b long")
+            ids = batch.column(0).to_numpy()
+            for lo, hi, data, off in K.chunks(batch.column(1)):
+                sets = list(shingle_sets(data, off, shingle))
+                n = np.array([len(s) for s in sets], np.int64)
+                if n.sum():
+                    own = [np.repeat(ids[lo:hi], n), np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["rep", "n", "h"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, n long, h long")
+
+
+def rare_pairs(rest: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Pairs (a, b) of different components of rest (rep, comp) that may be linked; none that is linked is left out.
+
+    All shingles are put into one order, the rarest first. Of a set of n, the first n - ceil(n * percent / 100) + 1 are taken: two
+    linked sets have one of these in common, and what follows their first common one suffices for the link. Shingles of a passage that many
+    texts share are frequent, so they come last and are taken only where a text has hardly anything else.
+    """
+    own = written(shingle_rows(texts.join(rest.select("rep"), "rep"), shingle), "shingles")
+    count = own.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    met = own.join(count, "h")
+    by = Window.partitionBy("rep")
+    placed = met.withColumn("at", F.row_number().over(by.orderBy("c", "h")) + F.col("n") - F.count("*").over(by))  # single ones come first
+    first = placed.where(f"at <= n - cast(ceil(n * {percent} / 100) as long) + 1").join(rest, "rep").select("h", "rep", "comp", "n", "at")
+    first = written(first, "rare")
+    many = first.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    first = first.join(many, "h")
+    left = first.select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "comp", "n", "at")])
+    right = first.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "at")])
+    enough = f"(1 + least(n1 - at1, n2 - at2)) * (100 + {percent}) >= {percent} * (n1 + n2)"
+    pairs = left.join(right, "h").where(f"comp1 < comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough}")
+    return pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame | None:
@@ -204,15 +188,12 @@ def components_of(docs: DataFrame, reps: DataFrame, percent: int, shingle: int)
     with rows_per_batch(docs.sparkSession, 1024):
         found = written(confirmed(pairs, texts, percent, shingle), "links")
     comp = components(found)
-    rest = star.select("key", "rep", "n").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    still = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
-    # Sets in one of these classes of size, or in neighbouring ones, may be linked; others can't be.
-    size = F.expr(f"cast(floor(ln(n) / {math.log(100 / percent) * (1 + 1e-9)!r}) as int)") if percent < 100 else F.col("n").cast("int")
-    rest = rest.join(still, "key").withColumn("size", size).withColumn("block", F.expr(f"pmod(xxhash64(rep), cast(ceil(m / {BLOCK}) as int))"))
-    blocks = rest.join(texts, "rep").groupBy("key", "size", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("own"))
-    blocks = written(blocks, "blocks")
-    with rows_per_batch(docs.sparkSession, 16):
-        more = written(compared(blocks, percent, shingle), "links")
+    rest = star.select("key", "rep", "n").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    still = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = written(rest.join(still, "key").select("rep", "comp").distinct(), "rest")
+    pairs = written(rare_pairs(rest, texts, percent, shingle), "pairs")
+    with rows_per_batch(docs.sparkSession, 1024):
+        more = written(confirmed(pairs, texts, percent, shingle), "links")
     return components(found.union(more)) if more.limit(1).count() else comp
 
 

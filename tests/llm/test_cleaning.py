@@ -142,11 +142,13 @@ def test_repeated_bytes_of_nothing(spark):
     assert op6.removed(docs_of(spark, [])).count() == 0
 
 
+def shingles(t):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[s : s + 5]) for s in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
 def expected_op2(rows, percent=85):
-    sets = {}
-    for i, t in rows:
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[s : s + 5]) for s in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    sets = {i: shingles(t) for i, t in rows}
     comp = {i: i for i, _ in rows}
 
     def find(i):
@@ -175,6 +177,28 @@ def test_near_duplicates(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == expected_op2(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_rare_shingles_lose_no_link(spark, percent):
+    """Many texts with one passage, unlike but for it, and pairs among them at every likeness around the threshold."""
+    rng = random.Random(percent)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage, rows = say(60), []
+    for i in range(60):
+        one = say(rng.randrange(20, 90)) + passage + say(rng.randrange(5, 60))
+        two = list(one)
+        for _ in range(i % 7):
+            two[rng.randrange(len(two))] = "changed"
+        rows += [(2 * i, " ".join(one), 2 * i), (2 * i + 1, " ".join(two), 2 * i + 1)]
+    rest = spark.createDataFrame(rows, "rep long, text string, comp long")
+    pairs = op2.rare_pairs(rest.select("rep", "comp"), rest.select("rep", "text"), percent, 5)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert len(got) < 200  # of 7,140 pairs that share the passage
+    linked = {(r.a, r.b) for r in op2.confirmed(pairs, rest.select("rep", "text"), percent, 5).collect()}
+    sets = [shingles(t) for _, t, _ in rows]
+    all_pairs = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert linked == all_pairs and all_pairs
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op2.near_duplicates(docs_of(spark, [])).count() == 0
     got = op2.near_duplicates(docs_of(spark, [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f")])).collect()
