@@ -18,7 +18,7 @@ from .geometry import CELL, clusters, same_line
 SPAN, CROSS, PAD, SMALLEST, OVERLAP = 3.0, 2.0, 2.0, 15.0, 0.3
 SAME, GAP, SPACE = 0.02, 0.3, 0.08
 
-CANDIDATE = "page long, mode string, x0 double, y0 double, x1 double, y1 double"
+CANDIDATE = "page {}, mode string, x0 double, y0 double, x1 double, y1 double"
 
 
 def _root(up: list[int], i: int) -> int:
@@ -85,10 +85,10 @@ def table_candidates(lines: DataFrame) -> DataFrame:
                 kept.append(c)
         return pd.DataFrame([(pdf["page"].iloc[0], *k) for k in kept], columns=["page", "mode", "x0", "y0", "x1", "y1"])
 
-    return lines.groupBy("page").applyInPandas(run, CANDIDATE)
+    return lines.groupBy("page").applyInPandas(run, CANDIDATE.format(dict(lines.dtypes)["page"]))
 
 
-FRAGMENT = "page long, ord int, text string, x0 double, y0 double, x1 double, y1 double, n int"
+FRAGMENT = "page {}, ord int, text string, x0 double, y0 double, x1 double, y1 double, n int"
 
 
 def joined_fragments(blocks: DataFrame, barriers: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def joined_fragments(blocks: DataFrame, barriers: DataFrame) -> DataFrame:
             last = b
         return pd.DataFrame(out, columns=["page", "ord", "text", "x0", "y0", "x1", "y1", "n"])
 
-    return blocks.groupBy("page").cogroup(barriers.select(F.col("page").alias("p_"), "x0", "y0", "x1", "y1").groupBy("p_")).applyInPandas(run, FRAGMENT)
+    return blocks.groupBy("page").cogroup(barriers.select(F.col("page").alias("p_"), "x0", "y0", "x1", "y1").groupBy("p_")).applyInPandas(run, FRAGMENT.format(dict(blocks.dtypes)["page"]))
 
 
 def line_order(boxes: DataFrame, height: int = 30) -> DataFrame:
