@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .operators import export, graph, headings
 from .sources import office, pdf
 
@@ -16,19 +17,19 @@ def build(spark: SparkSession, path: str):
     """(nodes, edges) of all files under a path: outline hierarchy, numbered nesting, captions, references, bookmarks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     is_pdf = F.lower("path").endswith(".pdf")
-    raw, printed = office.parsed(files.where(~is_pdf)), pdf.parsed(files.where(is_pdf))
-    nodes = office.nodes_of(raw).unionByName(office.sheet_nodes(raw), allowMissingColumns=True)
+    raw, printed = cut(office.parsed(files.where(~is_pdf))), cut(pdf.parsed(files.where(is_pdf)))  # each file is read once
+    nodes = cut(office.nodes_of(raw).unionByName(office.sheet_nodes(raw), allowMissingColumns=True))
     tree = headings.hierarchy(nodes.withColumn("excluded", F.col("is_toc")))
     nested = headings.numbered_nesting(nodes).withColumnRenamed("parent", "nested_")
     tree = tree.join(nested, ["doc", "id"], "left").withColumn("source", F.when(~F.col("structural"), F.coalesce("nested_", "parent")).otherwise(F.col("parent")))
     edges = tree.select("doc", F.lit("PARENT_OF").alias("type"), "source", F.col("id").alias("target"))
-    leaves, boxes = pdf.nodes_of(printed), pdf.containers(printed)
+    leaves, boxes = cut(pdf.nodes_of(printed)), pdf.containers(printed)
     edges = edges.unionByName(pdf.tree(printed, leaves))
     nodes = nodes.unionByName(leaves.drop("image"), allowMissingColumns=True)
     tops, links = office.containers(raw)
     tops, links = tops.unionByName(boxes[0]), links.unionByName(boxes[1])
-    edges = graph.finalize(nodes, edges).unionByName(office.bookmark_references(nodes)).unionByName(links).distinct()
-    return graph.with_native_location(nodes.unionByName(tops, allowMissingColumns=True), edges), edges
+    edges = cut(graph.finalize(nodes, cut(edges)).unionByName(office.bookmark_references(nodes)).unionByName(links).distinct())
+    return cut(graph.with_native_location(nodes.unionByName(tops, allowMissingColumns=True), edges)), edges
 
 
 def main(argv: list[str] | None = None) -> int:
