@@ -7,6 +7,7 @@ by word to both sides; it counts if ten words in a row agree.
 
 Before the join, documents' grams are looked up in a bitmap of the benchmark's fingerprints. It has ``SLOTS`` bits, or as many more as
 keep it at most a quarter full, up to ``MOST_SLOTS`` (512 KiB); for a larger benchmark all grams go on to the join, which gives the same rows.
+What passes the bitmaps is gathered in a file for each ``ROWS_A_FILE`` documents.
 
 An item of fewer than ten words is one window of that length: its hash is joined with those of
 all stretches of as many words. There are at most nine such lengths.
@@ -26,6 +27,7 @@ from .shared import table, with_given_ids, with_own_ids, written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K, SLOTS, MOST_SLOTS = 5, 1 << 17, 1 << 22
+ROWS_A_FILE = 100_000
 
 
 def words(text: Column) -> Column:
@@ -102,7 +104,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame
     ref = written(ref, "items")
     bits = {n: bitmap(ref.where(F.col("kind") == n)) for n in [window, *lengths]}
     cuts = cut(docs.select("doc_id", words(F.col("text")).alias("w")), window, lengths, bits)
-    seen = written(cuts.select("doc_id", F.size("w").cast("long").alias("n_words"), "found"), "fingerprints")
+    seen = cuts.select("doc_id", F.size("w").cast("long").alias("n_words"), "found")
+    if None not in bits.values():
+        # Few files: Hadoop's local file system starts a chmod for each that it makes, and a process just started is seen with all of the
+        # executor's memory. Without a bitmap the rows are a multiple of the texts and stay where they are.
+        seen = seen.repartition(docs.count() // ROWS_A_FILE + 1)
+    seen = written(seen, "fingerprints")
     got = seen.where("doc_id is not null").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
     ref = ref.select("item_id", "kind", "fp", F.col("before").alias("ib"), F.col("after").alias("ia"))
     met = got.join(ref, ["kind", "fp"])
